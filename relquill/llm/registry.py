@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from relquill.llm.byte_bpe import op3_byte_bpe
 from relquill.llm.near_dup import op6_near_dup
 
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op6_near_dup": op6_near_dup,
 }
 
