@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from relquill.llm import quality_rules
 from relquill.llm.byte_bpe import op3_byte_bpe
+from relquill.llm.mixing import op1_mixing
 from relquill.llm.near_dup import op6_near_dup
+from relquill.llm.quality_rules import op7_quality_rules
+from relquill.llm.secret_scan import op5_secret_scan
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_secret_scan": op5_secret_scan,
     "op6_near_dup": op6_near_dup,
+    "op7_quality_rules": op7_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": quality_rules.ORACLE,
+}
