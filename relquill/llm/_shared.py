@@ -111,5 +111,13 @@ def sampled_ids(labelled: DataFrame, id_col: str, label_col: str, per_label: int
     return out
 
 
+def sampled_rows(docs: DataFrame, sample: list[tuple], id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is sampled, with ``__label``; the sample's documented bound makes its broadcast safe."""
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    ids = spark.createDataFrame([(i, int(label)) for i, label in sample], f"__id {kind}, __label int")
+    return docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).drop("__id")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
