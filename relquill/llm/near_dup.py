@@ -8,8 +8,9 @@ Plan, and what each step moves:
 3. Every band bucket's smallest id is its pivot (an aggregate, no bucket is gathered). Members pair with
    pivots only; of its pairs a member first tries the most alike, and the others only where that leaves
    the two in different groups.
-4. Buckets that still hold two groups are compared in blocks, pairs of blocks in separate tasks, with
-   only likely pairs across groups put out. So no link is lost to the pivots, and no bucket is ever in one task.
+4. Buckets that still hold two groups are compared in blocks, pairs of blocks in separate tasks, on whole
+   sets, which put out the links that join groups and no other pairs. So no link is lost to the pivots, and no
+   bucket is ever in one task.
 5. Likely pairs are confirmed on full shingle sets, made again from the texts of those documents alone.
 6. Links become groups by local union-find in each partition, then star contraction between partitions.
 
@@ -184,6 +185,22 @@ def _set_udf(size: int):
     return made
 
 
+def _narrow_set_udf(size: int):
+    """The sets as sorted 32-bit hashes."""
+
+    @F.pandas_udf("binary")
+    def made(texts: pd.Series) -> pd.Series:
+        out: list = []
+        for _, parts in _bytes.runs(texts.tolist()):
+            h, who = shingle_hashes(parts, size)
+            bound = np.searchsorted(who, np.arange(len(parts) + 1))
+            h = (h >> np.uint64(32)).astype("<u4")  # the upper half keeps the order
+            out += [h[bound[i] : bound[i + 1]].tobytes() for i in range(len(parts))]
+        return pd.Series(out)
+
+    return made
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges``, root the smallest node reachable.
 
@@ -274,32 +291,108 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> Da
     return out
 
 
-def _across_blocks(reps: DataFrame, members: DataFrame, floor: float) -> DataFrame:
-    """Likely pairs across groups inside the buckets of ``members`` (key, rep, root, k): all pairs of blocks, each its own task."""
-    cut = F.greatest(F.lit(1), F.ceil(F.col("k") / F.lit(BLOCK))).cast("int")
-    rows = members.join(reps.select("rep", "n", "sketch"), "rep").withColumn("nb", cut)
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sorted sets, by products of membership matrices over slices of the elements."""
+    owner_l = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    owner_r = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    flat_l, flat_r = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(flat_l, flat_r)
+    out = np.zeros((len(left), len(right)), np.float32)
+    at_l, at_r = np.searchsorted(both, flat_l), np.searchsorted(both, flat_r)
+    in_l = (at_l < len(both)) & (both[np.minimum(at_l, len(both) - 1)] == flat_l) if len(both) else np.zeros(len(flat_l), bool)
+    in_r = (at_r < len(both)) & (both[np.minimum(at_r, len(both) - 1)] == flat_r) if len(both) else np.zeros(len(flat_r), bool)
+    owner_l, at_l, owner_r, at_r = owner_l[in_l], at_l[in_l], owner_r[in_r], at_r[in_r]
+    order_l, order_r = np.argsort(at_l, kind="stable"), np.argsort(at_r, kind="stable")
+    owner_l, at_l, owner_r, at_r = owner_l[order_l], at_l[order_l], owner_r[order_r], at_r[order_r]
+    for lo in range(0, len(both), 4096):
+        hi = min(len(both), lo + 4096)
+        a, b = np.searchsorted(at_l, [lo, hi])
+        c, d = np.searchsorted(at_r, [lo, hi])
+        x = np.zeros((len(left), hi - lo), np.float32)
+        y = np.zeros((len(right), hi - lo), np.float32)
+        x[owner_l[a:b], at_l[a:b] - lo] = 1
+        y[owner_r[c:d], at_r[c:d] - lo] = 1
+        out += x @ y.T
+    return out
+
+
+def links_between(frame: pd.DataFrame, floor: float, percent: int) -> list[tuple[int, int]]:
+    """Links between groups among the rows of a bucket that meet in one task, as a forest over the groups.
+
+    Rows with ``visits`` are compared with those without. A pair belongs to the first band that it shares, so that no
+    other bucket repeats it. Sets come as 32-bit hashes; one collision cannot join two groups here, as
+    joining them (and sparing their other pairs) takes one shingle more than the threshold.
+    """
+    visits = frame["visits"].to_numpy(bool)
+    left, right = frame[visits], frame[~visits]
+    if not len(left) or not len(right):
+        return []
+    sl, sr = np.stack(left["sketch"].to_list()), np.stack(right["sketch"].to_list())
+    il, ir = left["rep"].to_numpy(), right["rep"].to_numpy()
+    gl, gr = left["root"].to_numpy(), right["root"].to_numpy()
+    nl, nr = left["n"].to_numpy(), right["n"].to_numpy()
+    minor = right["minor"].to_numpy(bool)
+    band = int(frame["band"].iloc[0])
+    may = np.zeros((len(left), len(right)), bool)
+    for i in range(len(left)):
+        ok = (gr != gl[i]) & (100 * np.minimum(nr, nl[i]) >= percent * np.maximum(nr, nl[i])) & (~minor | (ir < il[i]))
+        if ok.any():
+            same = sr[ok] == sl[i]
+            good = same.mean(axis=1) >= floor
+            if band:
+                good &= ~same[:, : band * ROWS].reshape(len(same), band, ROWS).all(axis=2).any(axis=1)
+            ok[ok] = good
+            may[i] = ok
+    rows, cols = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+    if not len(rows):
+        return []
+    sets_l = [np.frombuffer(x, "<u4") for x in left["s"].to_numpy()[rows]]
+    sets_r = [np.frombuffer(x, "<u4") for x in right["s"].to_numpy()[cols]]
+    shared = _shared_counts(sets_l, sets_r)
+    total = nl[rows][:, None] + nr[cols][None, :]
+    linked = may[np.ix_(rows, cols)] & (100 * shared >= percent * (total - shared))
+    sure = 100 * (shared - 1) >= percent * (total - shared + 1)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            x = p
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        x, y = find(int(gl[rows[i]])), find(int(gr[cols[j]]))
+        if x != y:
+            a, b = int(il[rows[i]]), int(ir[cols[j]])
+            out.append((max(a, b), min(a, b)))
+            if sure[i, j]:
+                parent[max(x, y)] = min(x, y)
+    return out
+
+
+def _across_blocks(reps: DataFrame, members: DataFrame, docs: DataFrame, floor: float, percent: int, size: int) -> DataFrame:
+    """Links across groups inside the buckets of ``members`` (key, rep, root).
+
+    A bucket's largest group needs no comparison within itself: its rows and the rest stay in blocks of
+    the bucket, and only the rest visit all blocks, themselves in blocks; each pair of blocks is a task.
+    """
+    groups = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = groups.groupBy("key").agg(F.max_by("root", F.struct("c", (-F.col("root")).alias("r"))).alias("main"), F.sum("c").alias("k"), F.max("c").alias("m"))
+    need = stage(members.select(F.col("rep").alias("id")).distinct(), "need")
+    sets = stage(_bounded_semi(docs, need, "id").select(F.col("id").alias("rep"), _narrow_set_udf(size)("text").alias("s")).dropDuplicates(["rep"]), "sets")
+    rows = members.join(main, "key").withColumn("minor", F.col("root") != F.col("main"))
+    homes = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
+    guests = F.ceil((F.col("k") - F.col("m")) / F.lit(BLOCK)).cast("int")
+    rows = rows.withColumn("homes", homes).withColumn("guests", guests)
+    home, guest = F.pmod(F.xxhash64("rep"), F.col("homes")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("guests")).cast("int")
+    stay = rows.select("key", "band", "rep", "root", "minor", F.lit(False).alias("visits"), home.alias("h"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("g"))
+    visit = rows.where("minor").select("key", "band", "rep", "root", "minor", F.lit(True).alias("visits"), F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("h"), guest.alias("g"))
+    placed = stay.unionByName(visit).join(reps.select("rep", "n", "sketch").join(sets, "rep"), "rep")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(frame["lo"].iloc[0]), int(frame["hi"].iloc[0])
-        left, right = frame[frame["mine"] == lo], frame[frame["mine"] == hi]
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            sl, sr = np.stack(left["sketch"].to_list()), np.stack(right["sketch"].to_list())
-            il, ir = left["rep"].to_numpy(), right["rep"].to_numpy()
-            gl, gr = left["root"].to_numpy(), right["root"].to_numpy()
-            nl, nr = left["n"].to_numpy(), right["n"].to_numpy()
-            for i in range(len(il)):
-                ok = (gr != gl[i]) & (100 * np.minimum(nr, nl[i]) >= 80 * np.maximum(nr, nl[i]))
-                ok &= (il[i] < ir) if lo == hi else True
-                ok[ok] = (sr[ok] == sl[i]).mean(axis=1) >= floor
-                out += [(max(int(il[i]), int(x)), min(int(il[i]), int(x))) for x in ir[ok]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    got = rows.select("key", "lo", "hi", "mine", "rep", "root", "n", "sketch").groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
-    return got.distinct()
+        return pd.DataFrame(links_between(frame, floor, percent), columns=["a", "b"]).astype("int64")
+
+    return placed.groupBy("key", "h", "g").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -313,7 +406,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = usable.groupBy("fp").agg(F.min(F.struct("id", "n", "bands", "sketch")).alias("r"))
     reps = stage(grouped.select("fp", F.col("r.id").alias("rep"), "r.n", "r.bands", "r.sketch"), "reps")
 
-    bands = reps.select("rep", F.explode("bands").alias("key"))
+    bands = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = stage(bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1"), "buckets")
     members = stage(bands.join(buckets, "key"), "members")
     pairs = members.where("rep <> pivot").groupBy(F.col("rep").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
@@ -328,19 +421,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         g = groups.select(F.col("node").alias(col), F.col("root").alias(out + "_r"))
         return frame.join(g, col, "left").withColumn(out, F.coalesce(F.col(out + "_r"), F.col(col))).drop(out + "_r")
 
-    for _ in range(2):  # first the other pairs with pivots, then what buckets with several groups still hide
-        rest = rooted(rooted(likely.select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
-        rest = rest.join(best, ["a", "b"], "left_anti")
-        if _ == 1:
-            marked = stage(rooted(members, "rep", "root"), "marked")
-            mixed = marked.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-            inside = marked.where("k > 2").join(mixed, "key", "left_semi")
-            rest = _across_blocks(reps, inside, floor).join(likely, ["a", "b"], "left_anti")
-        rest = stage(rest, "rest")
-        if rest.isEmpty():
-            continue
-        more = _confirmed(rest, slim, percent, size)
-        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    def merged(pairs: DataFrame) -> DataFrame:
+        more = _confirmed(pairs, slim, percent, size)
+        return connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    # the other pairs with pivots, where the best one left the two apart
+    rest = rooted(rooted(likely.select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
+    rest = stage(rest.join(best, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        groups = merged(rest)
+    # what buckets with several groups still hide
+    marked = stage(rooted(members.where("k > 2").select("key", "band", "rep"), "rep", "root"), "marked")
+    mixed = marked.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    inside = stage(marked.join(mixed, "key", "left_semi"), "inside")
+    if not inside.isEmpty():
+        hidden = stage(_across_blocks(reps, inside, slim, floor, percent, size), "hidden")
+        if not hidden.isEmpty():
+            groups = merged(hidden)
 
     by_set = rooted(reps.select("fp", "rep"), "rep", "component_id").select("fp", "component_id")
     out = sig.select("id", "n", "fp").join(by_set, "fp", "left")
