@@ -5,7 +5,7 @@ numpy classifier. Its risk is prior * R(positives as 1) + max(0, R(unlabelled as
 as 0)): the bracket estimates the risk on negatives, and where it falls under zero, which a real risk cannot,
 the step goes against it. The negatives' labels are used for the prior alone.
 
-Inputs of a score are words and word beginnings of the whole text, lower-cased and hashed, each at one, two
+Inputs of a score are runs of letters and their beginnings in the whole text, lower-cased and hashed, each at one, two
 and four occurrences. The features whose document frequencies differ most between the samples are kept.
 
 Training is bounded: ``PER_CLASS`` positives and ``UNLABELLED`` other documents, chosen by a hash, so it
@@ -32,16 +32,14 @@ LEVELS = (1, 2, 4)
 PER_CLASS, UNLABELLED, KEPT = 2000, 6000, 2048
 
 
+#: ASCII letters in lower case, other ASCII as blanks; bytes of other letters stay.
+_LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256)).lower()
+
+
 def hashed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed feature, text) of every word and word beginning, in no particular order."""
-    buf, start, end, owner = _bytes.words(parts, lower=True)
-    keys, who = [], []
-    # punctuation at a word's end is not part of it
-    for _ in range(2):
-        tail = np.isin(buf[end - 1], _PUNCT) & (end - start > 1)
-        end = end - tail
-    keys.append(_bytes.span_hashes(buf, start, end))
-    who.append(owner)
+    """(hashed feature, text) of every run of letters and its beginnings, in no particular order."""
+    buf, start, end, owner = _bytes.words([p.translate(_LETTERS) for p in parts])
+    keys, who = [_bytes.span_hashes(buf, start, end)], [owner]
     for n in STEMS:
         long = end - start > n
         keys.append(_bytes.span_hashes(buf, start[long], start[long] + n) ^ np.uint64(0x5851F42D4C957F2D))
@@ -49,9 +47,6 @@ def hashed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(who)
 
 
-_PUNCT = np.frombuffer(b".,;:!?\"')(", np.uint8)
-
-
 @dataclass
 class Model:
     """slot[feature] is the feature's row of ``weight`` (levels as columns), or -1."""
@@ -74,7 +69,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, batch: int = 256, rate: float = 0.02, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, batch: int = 256, rate: float = 0.02, decay: float = 2e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier under the non-negative risk, with Adam on the sigmoid loss."""
     rng = np.random.default_rng(11)
     w = np.zeros(pos.shape[1] + 1, np.float32)
@@ -122,19 +117,16 @@ def _features(docs: DataFrame, id_col: str, text_col: str, sample: list[tuple])
     return [(label, key, count) for label, _, key, count in out]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits the classifier on rows of ``docs`` and ``labels`` that the caller may learn from."""
-    known = labels.select(id_col, F.col(label_col).cast("int").alias("__l")).where("__l IS NOT NULL").where(F.col(id_col).isNotNull())
-    prior = known.agg(F.avg("__l")).first()[0]
-    positive = sampled_ids(known.where("__l = 1"), id_col, "__l", PER_CLASS)
-    empty = Model(np.full(1 << BITS, -1, np.int16), np.zeros((1, len(LEVELS))), -30.0)
-    if not positive:
-        return empty
-    other = sampled_ids(docs.select(id_col, F.lit(0).alias("__u")), id_col, "__u", UNLABELLED)
-    rows = _features(docs, id_col, text_col, positive) + _features(docs, id_col, text_col, other)
+def _nothing() -> Model:
+    """What is learned from no positives: every score is 0."""
+    return Model(np.full(1 << BITS, -1, np.int16), np.zeros((1, len(LEVELS))), -30.0)
+
+
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float) -> Model:
+    """The classifier of (1 for positives, 0 for unlabelled; features; their counts)."""
     y = np.array([r[0] for r in rows])
     if not (y == 1).any() or not (y == 0).any():
-        return empty
+        return _nothing()
     df = np.zeros((2, 1 << BITS))
     for label, key, _ in rows:
         df[label, key] += 1
@@ -152,10 +144,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         has = at >= 0
         for j, level in enumerate(LEVELS):
             x[i, at[has & (count >= level)] * len(LEVELS) + j] = 1
-    w, bias = nnpu(x[y == 1], x[y == 0], float(prior))
+    w, bias = nnpu(x[y == 1], x[y == 0], prior)
     return Model(slot, np.cumsum(w.reshape(len(chosen), len(LEVELS)), axis=1, dtype=np.float64), bias)
 
 
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fits the classifier on rows of ``docs`` and ``labels`` that the caller may learn from."""
+    known = labels.select(id_col, F.col(label_col).cast("int").alias("__l")).where("__l IS NOT NULL").where(F.col(id_col).isNotNull())
+    prior = known.agg(F.avg("__l")).first()[0]
+    positive = sampled_ids(known.where("__l = 1"), id_col, "__l", PER_CLASS)
+    if not positive:
+        return _nothing()
+    other = sampled_ids(docs.select(id_col, F.lit(0).alias("__u")), id_col, "__u", UNLABELLED)
+    return fit(_features(docs, id_col, text_col, positive) + _features(docs, id_col, text_col, other), float(prior))
+
+
 def score_column(spark: SparkSession, model: Model):
     """A column function: text -> score. The model's size is fixed: 2**BITS slots and KEPT rows."""
     sent = spark.sparkContext.broadcast(model)
