@@ -1,50 +1,18 @@
-"""Named queries over the sample tables, each with the SQL a second engine can run to check it."""
+"""All queries over the sample tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable:
-    """Registers a query under its function's name."""
-
-    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        _QUERIES[fn.__name__] = fn
-        if oracle:
-            _ORACLES[fn.__name__] = oracle
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from relquill.plans import aggregation, changes, relations, reporting, scalar  # noqa: F401  each registers its queries
+from relquill.plans.registry import ORACLES, QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
-@query(
-    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base,
-       avg(l_discount) AS avg_disc, count(*) AS count_order
-       FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus"""
-)
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_shipdate <= TIMESTAMP '1998-09-02 00:00:00'")
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum("l_quantity").alias("sum_qty"),
-        F.sum("l_extendedprice").alias("sum_base"),
-        F.avg("l_discount").alias("avg_disc"),
-        F.count(F.lit(1)).alias("count_order"),
-    )
+    return dict(ORACLES)
