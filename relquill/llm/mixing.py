@@ -64,7 +64,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     s = s.withColumn("level", level).withColumn("fits", F.col("cap") >= F.col("level") * F.col("w"))
     s = s.withColumn("free", F.max(F.when(F.col("fits"), F.col("level"))).over(every))
     s = s.withColumn("target", F.when(F.col("free").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("free") * F.col("w"))))
-    s = s.withColumn("hi", F.sum("target").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.col("total"))
+    s = s.withColumn("hi", F.sum("target").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.greatest(F.col("total"), F.lit(1)))
     s = s.withColumn("lo", F.coalesce(F.lag("hi").over(by_key), F.lit(0.0)))
     last = F.row_number().over(Window.orderBy(F.desc("key")))
     s = s.withColumn("hi", F.when(last == 1, F.lit(1.0)).otherwise(F.col("hi")))  # the sum may end a rounding below 1

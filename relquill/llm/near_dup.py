@@ -58,7 +58,7 @@ def shingle_hashes(parts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarra
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
     with np.errstate(over="ignore"):
         acc = h.copy()
-        for k in range(1, size):
+        for k in range(1, min(size, len(h))):
             acc[: len(h) - k] = _bytes.mix(acc[: len(h) - k] * np.uint64(0xD1342543DE82EF95) + h[k:])
     left = first[owner] + count[owner] - np.arange(len(h))  # words from here to the text's end
     whole = left >= size
