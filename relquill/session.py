@@ -2,12 +2,12 @@
 
 A table's contents are Parquet in the shared folder; a change writes a new version with DataFrame operators and checks
 the constraints before the new version counts. Every row carries a hidden number, by which UPDATE and DELETE find rows.
-There is one writer and no transaction beyond the statement: what fails leaves the table as it was.
+There is one writer. What fails leaves the table as it was; a transaction's savepoints are references to old versions.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +49,27 @@ class TableDef:
     checks: dict[str, str] = field(default_factory=dict)
     foreign: list[ForeignKey] = field(default_factory=list)
     data: DataFrame | None = None
+    period: tuple[str, str] | None = None  # columns of SYSTEM_TIME
+    versioned: bool = False
 
     @property
     def names(self) -> list[str]:
         return [c.name for c in self.columns]
 
 
+@dataclass
+class Trigger:
+    """Statements that run around a change. ``new`` and ``old`` name the transition tables; row triggers are run on all rows at once."""
+
+    table: str
+    before: bool
+    event: str
+    new: str | None
+    old: str | None
+    each_row: bool
+    body: list[Tok]
+
+
 class Engine:
     """SQL statements over a Spark session. Unquoted names are compared without regard to case."""
 
@@ -62,7 +77,9 @@ class Engine:
         self.spark = spark
         self.tables: dict[str, TableDef] = {}
         self.sequences: dict[str, dml.Sequence] = {}
+        self.triggers: dict[str, Trigger] = {}
         self.last_identity: int | None = None
+        self._saved: list[tuple[str | None, dict[str, TableDef]]] = []
 
     # --- entry
 
@@ -81,23 +98,121 @@ class Engine:
 
     def script(self, statements: str) -> list[DataFrame | int]:
         """Statements one after another, separated by semicolons (IMPORT SCRIPT)."""
-        out, part = [], []
-        for t in [*Q.tokens(statements), Tok("o", ";")]:
-            if t.text == ";" and t.kind == "o":
+        return [self.sql(Q.render(part)) for part in self._parts(Q.tokens(statements))]
+
+    @staticmethod
+    def _parts(items: list[Tok]) -> list[list[Tok]]:
+        """Statements between semicolons; those inside BEGIN .. END and CASE .. END do not count."""
+        out, part, depth = [], [], 0
+        for t in [*items, Tok("o", ";")]:
+            depth += (t.up in ("BEGIN", "CASE")) - (t.up == "END" and depth > 0)
+            if t.text == ";" and t.kind == "o" and depth == 0:
                 if part:
-                    out.append(self.sql(Q.render(part)))
+                    out.append(part)
                 part = []
             else:
                 part.append(t)
         return out
 
+    # --- transactions: versions are immutable, so a savepoint is a set of references
+
+    def _snapshot(self) -> dict[str, TableDef]:
+        return {n: replace(t, columns=[replace(c) for c in t.columns], unique=list(t.unique), checks=dict(t.checks), foreign=list(t.foreign)) for n, t in self.tables.items()}
+
+    def _begin(self, items: list[Tok]) -> int:
+        self._saved = [(None, self._snapshot())]
+        return 0
+
+    def _savepoint(self, items: list[Tok]) -> int:
+        self._saved.append((items[1].text.lower(), self._snapshot()))
+        return 0
+
+    def _commit(self, items: list[Tok]) -> int:
+        self._saved = []
+        return 0
+
+    def _rollback(self, items: list[Tok]) -> int:
+        if not self._saved:
+            return 0
+        at = 0
+        if (i := Q._find(items, "SAVEPOINT")) > 0:
+            found = [n for n, (name, _) in enumerate(self._saved) if name == items[i + 1].text.lower()]
+            if not found:
+                raise ValueError(f"3B001 invalid savepoint: {items[i + 1].text}")
+            at = found[-1]
+        for name in set(self.tables) - set(self._saved[at][1]):
+            self.spark.catalog.dropTempView(name)
+        self.tables = self._saved[at][1]
+        self._saved = self._saved[: at + 1] if at else []
+        if at:
+            self._saved[at] = (self._saved[at][0], self._snapshot())
+        for t in self.tables.values():
+            self._show(t)
+        return 0
+
+    # --- routines and triggers
+
+    def _block(self, items: list[Tok]) -> DataFrame | int:
+        """BEGIN [ATOMIC] .. END: a block of statements on tables runs here, one with variables or loops as a Spark SQL script."""
+        body = items[2 if items[1].up == "ATOMIC" else 1 : -1]
+        parts = self._parts(body)
+        if any(p[0].up in ("DECLARE", "SET", "IF", "WHILE", "REPEAT", "LOOP", "FOR", "CASE") or len(p) > 1 and p[1].text == ":" for p in parts):
+            return self.spark.sql("BEGIN " + Q.render(body) + " END")
+        out: DataFrame | int = 0
+        for p in parts:
+            out = self.sql(Q.render(p))
+        return out
+
+    def _trigger(self, items: list[Tok]) -> int:
+        """CREATE TRIGGER n {BEFORE | AFTER} event ON t [REFERENCING ..] [FOR EACH {ROW | STATEMENT}] statement"""
+        name, before, event = items[2].text.lower(), items[3].up == "BEFORE", items[4].up
+        on = Q._find(items, "ON")
+        table, at = self._name(items, on + 1)
+        names: dict[str, str] = {}
+        if at < len(items) and items[at].up == "REFERENCING":
+            at += 1
+            while items[at].up in ("NEW", "OLD"):
+                kind = items[at].up
+                at += 1 + (items[at + 1].up in ("ROW", "TABLE"))
+                at += items[at].up == "AS"
+                names[kind] = items[at].text.lower()
+                at += 1
+        each_row = False
+        if [t.up for t in items[at : at + 2]] == ["FOR", "EACH"]:
+            each_row, at = items[at + 2].up == "ROW", at + 3
+        self.triggers[name] = Trigger(table, before, event, names.get("NEW"), names.get("OLD"), each_row, items[at:])
+        return 0
+
+    def _fire(self, t: TableDef, before: bool, event: str, new: DataFrame | None, old: DataFrame | None) -> DataFrame | None:
+        """Runs the triggers of a change; BEFORE row triggers may SET columns of the new rows, which are returned."""
+        for g in [g for g in self.triggers.values() if (g.table, g.before, g.event) == (t.name, before, event)]:
+            for name, rows in ((g.new, new), (g.old, old)):
+                if name and rows is not None:
+                    rows.drop(RID).createOrReplaceTempView(name)
+            body = g.body[2 if g.body[1].up == "ATOMIC" else 1 : -1] if g.body[0].up == "BEGIN" else g.body
+            for part in self._parts(body):
+                if part[0].up == "SET" and before and new is not None:
+                    for cell in Q.split(part[1:]):
+                        eq = next(i for i, x in enumerate(cell) if x.text == "=")
+                        c = next(c for c in t.columns if c.name == cell[eq - 1].text.lower())
+                        new = new.alias(g.new).withColumn(c.name, F.expr(self.expression(cell[eq + 1 :])).cast(c.kind))
+                elif part[0].up == "INSERT" and g.each_row and (v := Q._find(part, "VALUES")) > 0:
+                    rows = " CROSS JOIN ".join(n for n, d in ((g.new, new), (g.old, old)) if n and d is not None)
+                    self.sql(f"{Q.render(part[:v])} SELECT {Q.render(part[v + 1].items)} FROM {rows}")
+                elif part[0].up == "SIGNAL":
+                    if (new if new is not None else old) is not None and not (new if new is not None else old).isEmpty():
+                        raise ValueError(f"{Q.render(part[2:])} raised by a trigger of {t.name}")
+                else:
+                    self.sql(Q.render(part))
+        return new
+
     def _statements(self):
         nothing = lambda _: 0
         return {
             ("INSERT", "INTO"): self._insert, ("UPDATE",): self._update, ("DELETE", "FROM"): self._delete, ("TRUNCATE", "TABLE"): self._truncate, ("MERGE", "INTO"): self._merge,
             ("REPLACE", "INTO"): self._insert, ("CREATE", "VIEW"): self._view, ("CREATE", "OR", "REPLACE", "VIEW"): self._view, ("CREATE", "SEQUENCE"): self._sequence, ("CREATE", "FUNCTION"): self._function,
-            ("CREATE", "INDEX"): nothing, ("CREATE", "UNIQUE", "INDEX"): nothing, ("COMMENT",): nothing, ("SET", "TABLE"): self._source, ("SET",): nothing, ("COMMIT",): nothing,
-            ("CREATE",): self._create, ("DROP",): self._drop, ("ALTER", "TABLE"): self._alter, ("EXPLAIN", "PLAN", "FOR"): self._explain, ("CALL",): self._call,
+            ("CREATE", "INDEX"): nothing, ("CREATE", "UNIQUE", "INDEX"): nothing, ("COMMENT",): nothing, ("SET", "TABLE"): self._source, ("SET",): nothing, ("START", "TRANSACTION"): self._begin, ("SAVEPOINT",): self._savepoint,
+            ("RELEASE", "SAVEPOINT"): nothing, ("COMMIT",): self._commit, ("ROLLBACK",): self._rollback, ("CREATE", "TRIGGER"): self._trigger, ("BEGIN",): self._block, ("CREATE",): self._create, ("DROP",): self._drop, ("ALTER", "TABLE"): self._alter, ("EXPLAIN", "PLAN", "FOR"): self._explain, ("CALL",): self._call,
         }
 
     # --- queries
@@ -116,7 +231,7 @@ class Engine:
         at = Q._find(items, "CORRESPONDING")
         if at > 0:
             return self._corresponding(items, at)
-        items = self._with_sequences(items)
+        items = self._system_time(self._with_sequences(items))
         text_ = Q.render(Q.rewrite(items, self.types))
         return self.spark.sql(text_, args=args) if args is not None else self.spark.sql(text_)
 
@@ -148,6 +263,35 @@ class Engine:
                 i += 1
         return out
 
+    def _system_time(self, items: list[Tok]) -> list[Tok]:
+        """t FOR SYSTEM_TIME {AS OF x | FROM x TO y | BETWEEN x AND y}: a selection of the table's versions."""
+        items = [Tok("g", t.text, self._system_time(t.items)) if t.kind == "g" else t for t in items]
+        while (i := Q._find(items, "FOR", "SYSTEM_TIME")) > 0:
+            t = self._table(items[i - 1].text.lower())
+            a, b = t.period
+            kind = items[i + 2].up
+            first = i + (4 if kind == "AS" else 3)
+
+            def value(at: int) -> int:  # a literal (TIMESTAMP '..'), a call or a name
+                end = at + 1
+                while end < len(items) and items[end].kind in "sg":
+                    end += 1
+                return end
+
+            end = value(first)
+            x = Q.render(items[first:end])
+            if kind == "AS":
+                test = f"{a} <= {x} AND {b} > {x}"
+            else:
+                last = value(end + 1)
+                y = Q.render(items[end + 1 : last])
+                test = f"{b} > {x} AND {a} {'<' if kind == 'FROM' else '<='} {y}"
+                end = last
+            named = end < len(items) and (items[end].up == "AS" or items[end].kind in "wq" and items[end].up not in Q._FROM_END | {"JOIN", "LEFT", "RIGHT", "FULL", "INNER", "CROSS", "NATURAL", "ON", "USING"})
+            new = Q.tokens(f"(SELECT * FROM {t.name}__versions WHERE {test})" + ("" if named else f" AS {t.name}"))
+            items = items[: i - 1] + new + items[end:]
+        return items
+
     def _explain(self, items: list[Tok]) -> DataFrame:
         plan = self.query(items[3:])._jdf.queryExecution().toString()
         return self.spark.createDataFrame([(line,) for line in plan.splitlines()], "plan string")
@@ -163,9 +307,17 @@ class Engine:
     def _store(self, t: TableDef, rows: DataFrame) -> None:
         """The new contents of a table, checked and written; rows need the hidden number no more than the old ones did."""
         data = stage(rows.select(*[F.col(c.name).cast(c.kind).alias(c.name) for c in t.columns]).withColumn(RID, F.monotonically_increasing_id()), t.name)
-        self._check(t, data)
+        self._check(t, dml.current_rows(data, t.period[1]) if t.versioned else data)
         t.data = data
-        data.drop(RID).createOrReplaceTempView(t.name)
+        self._show(t)
+
+    def _show(self, t: TableDef) -> None:
+        """The table's views: its current rows, and beside them every version."""
+        rows = t.data.drop(RID)
+        if t.versioned:
+            rows.createOrReplaceTempView(f"{t.name}__versions")
+            rows = dml.current_rows(rows, t.period[1])
+        rows.createOrReplaceTempView(t.name)
 
     def _check(self, t: TableDef, data: DataFrame) -> None:
         foreign = [(f.columns, (data if f.parent == t.name else self.tables[f.parent].data), f.target) for f in t.foreign]
@@ -210,6 +362,7 @@ class Engine:
                 t = TableDef(name, [])
                 for part in Q.split(body):
                     self._element(t, part)
+                t.versioned = t.period is not None and Q._find(items, "SYSTEM", "VERSIONING") > 0
         elif at < len(items) and items[at].up == "AS":
             return self._create_as(TableDef(name, []), items[at + 1 :], None)
         else:
@@ -238,8 +391,11 @@ class Engine:
         if word in ("PRIMARY", "UNIQUE", "CHECK", "FOREIGN") and (word != "UNIQUE" or part[1].kind == "g"):
             self._constraint(t, part, name)
             return
-        if word == "PERIOD":
-            return  # a named pair of columns: its predicates take the columns
+        if word == "PERIOD":  # other periods are named pairs of columns: their predicates take the columns
+            if part[2].up == "SYSTEM_TIME":
+                a, b = (Q.render(x).lower() for x in Q.split(part[3].items))
+                t.period = (a, b)
+            return
         column = part[0].text.strip('"') if part[0].kind == "q" else part[0].text.lower()
         rest = part[1:]
         if rest[0].up in ("IDENTITY",):
@@ -273,7 +429,9 @@ class Engine:
                 break
             elif up == "GENERATED":
                 where = Q._find(rest, "AS", start=i)
-                if rest[where + 1].kind == "g":
+                if rest[where + 1].up == "ROW":  # GENERATED ALWAYS AS ROW START / END
+                    i = where + 3
+                elif rest[where + 1].kind == "g":
                     c.generated, i = self.expression(rest[where + 1].items), where + 2
                 else:
                     c.identity, c.not_null, i = dml.Sequence(*self._sequence_options(rest[where + 2].items if where + 2 < len(rest) and rest[where + 2].kind == "g" else [], 0)), True, where + 3
@@ -325,6 +483,8 @@ class Engine:
             self.spark.catalog.dropTempView(name)
         elif kind == "SEQUENCE":
             self.sequences.pop(name, None)
+        elif kind == "TRIGGER":
+            self.triggers.pop(name, None)
         elif kind == "FUNCTION":
             self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
         return 0
@@ -493,17 +653,33 @@ class Engine:
             if c.generated:
                 rows = rows.withColumn(c.name, F.expr(c.generated).cast(c.kind))
         rows = rows.select(*[F.col(c.name).cast(c.kind).alias(c.name) for c in t.columns])
+        if t.versioned:
+            rows = stage(self._stamped(t, rows), name)
+        if any(g.table == t.name and g.event == "INSERT" for g in self.triggers.values()):
+            rows = stage(self._fire(t, True, "INSERT", rows, None), name)
         old = t.data.drop(RID)
         if items[0].up == "REPLACE" and t.key:
             rows = stage(rows, name)
             old = old.join(rows.select(*t.key), t.key, "left_anti").select(*t.names)
         before = old.count()
         self._store(t, old.unionByName(rows))
+        self._fire(t, False, "INSERT", rows, None)
         return t.data.count() - before
 
+    def _stamped(self, t: TableDef, rows: DataFrame) -> DataFrame:
+        """``rows`` as current versions from now on."""
+        kind = {c.name: c.kind for c in t.columns}
+        a, b = t.period
+        return rows.withColumns({a: F.current_timestamp().cast(kind[a]), b: F.lit(dml.FOREVER).cast(kind[b])})
+
+    def _ended(self, t: TableDef, rows: DataFrame) -> DataFrame:
+        """``rows`` as versions that end now."""
+        kind = {c.name: c.kind for c in t.columns}
+        return rows.withColumn(t.period[1], F.current_timestamp().cast(kind[t.period[1]]))
+
     def _hits(self, t: TableDef, alias: str, where: list[Tok] | None, cells: dict[str, str]) -> DataFrame:
         """The rows that a condition holds for, with their numbers and new values."""
-        t.data.createOrReplaceTempView("rq_target")
+        (dml.current_rows(t.data, t.period[1]) if t.versioned else t.data).createOrReplaceTempView("rq_target")
         columns = ", ".join(f"CAST(({cells[c.name]}) AS {c.kind}) AS `{c.name}`" if c.name in cells else f"`{alias}`.`{c.name}`" for c in t.columns)
         condition = f" WHERE {Q.render(Q.rewrite(where, None))}" if where else ""
         return stage(self.spark.sql(f"SELECT {columns}, `{alias}`.{RID} FROM rq_target AS `{alias}`{condition}"), t.name)
@@ -541,7 +717,16 @@ class Engine:
                 changed = changed.withColumn(c.name, F.expr(c.generated).cast(c.kind))
         n = changed.count()
         rest = t.data.join(changed.select(RID), RID, "left_anti")
-        self._store(t, rest.unionByName(changed).drop(RID))
+        watched = any(g.table == t.name and g.event == "UPDATE" for g in self.triggers.values())
+        old = t.data.join(changed.select(RID), RID, "left_semi") if watched or t.versioned else None
+        if watched:
+            changed = stage(self._fire(t, True, "UPDATE", changed, old), t.name)
+        if t.versioned:
+            changed = stage(self._stamped(t, changed), t.name)
+            rest = rest.unionByName(self._ended(t, old).select(*rest.columns))
+        self._store(t, rest.unionByName(changed.select(*rest.columns)).drop(RID))
+        if watched:
+            self._fire(t, False, "UPDATE", changed, old)
         return n
 
     def _delete(self, items: list[Tok]) -> int:
@@ -549,7 +734,9 @@ class Engine:
         where = Q._find(items, "WHERE")
         gone = self._hits(t, alias, items[where + 1 :] if where >= 0 else None, {})
         n = gone.count()
+        self._fire(t, True, "DELETE", None, gone)
         self._remove(t, gone)
+        self._fire(t, False, "DELETE", None, gone)
         return n
 
     def _remove(self, t: TableDef, gone: DataFrame) -> None:
@@ -570,7 +757,10 @@ class Engine:
                         saved, child.foreign = child.foreign, [x for x in child.foreign if x is not f]
                         self._store(child, after.drop(RID))
                         child.foreign = saved
-        self._store(t, t.data.join(gone.select(RID), RID, "left_anti").drop(RID))
+        left = t.data.join(gone.select(RID), RID, "left_anti")
+        if t.versioned:
+            left = left.unionByName(self._ended(t, gone).select(*left.columns))
+        self._store(t, left.drop(RID))
 
     def _truncate(self, items: list[Tok]) -> int:
         t = self._table(self._name(items, 2)[0])

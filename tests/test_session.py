@@ -132,3 +132,43 @@ def test_text_separators_by_kind(spark, tmp_path):
     (tmp_path / "v.txt").write_text("1,one;2.5\n2,\"t;wo\";3.5\n")
     settings = TextSettings.parse(f"{tmp_path}/v.txt;fs=,;vs=\\semi")
     assert sorted(rows(read_text_table(spark, "id int, name string, x double", settings))) == [(1, "one", 2.5), (2, "t;wo", 3.5)]
+
+
+def test_transactions(spark):
+    e = Engine(spark)
+    e.script("CREATE TABLE tx (a INTEGER); INSERT INTO tx VALUES (1); START TRANSACTION; INSERT INTO tx VALUES (2); SAVEPOINT s; DELETE FROM tx; ROLLBACK TO SAVEPOINT s")
+    assert sorted(rows(e.sql("SELECT a FROM tx"))) == [(1,), (2,)]
+    e.sql("ROLLBACK")
+    assert rows(e.sql("SELECT a FROM tx")) == [(1,)]
+    e.script("START TRANSACTION; UPDATE tx SET a = 5; COMMIT; ROLLBACK")
+    assert rows(e.sql("SELECT a FROM tx")) == [(5,)]
+
+
+def test_triggers_and_blocks(spark):
+    e = Engine(spark)
+    e.script("""
+        CREATE TABLE item (id INTEGER, v INTEGER); CREATE TABLE log (what VARCHAR(10), id INTEGER, v INTEGER);
+        CREATE TRIGGER t1 BEFORE INSERT ON item REFERENCING NEW ROW AS n FOR EACH ROW SET n.v = n.v * 10;
+        CREATE TRIGGER t2 AFTER INSERT ON item REFERENCING NEW ROW AS n FOR EACH ROW INSERT INTO log VALUES ('new', n.id, n.v);
+        CREATE TRIGGER t3 AFTER UPDATE ON item REFERENCING NEW TABLE AS nt OLD TABLE AS ot FOR EACH STATEMENT
+          BEGIN ATOMIC INSERT INTO log SELECT 'upd', nt.id, nt.v - ot.v FROM nt JOIN ot ON nt.id = ot.id; END;
+        CREATE TRIGGER t4 AFTER DELETE ON item REFERENCING OLD TABLE AS gone INSERT INTO log SELECT 'del', id, v FROM gone;
+        INSERT INTO item VALUES (1, 1), (2, 2); UPDATE item SET v = v + 5 WHERE id = 2; DELETE FROM item WHERE id = 1;
+    """)
+    assert sorted(rows(e.sql("SELECT * FROM log"))) == [("del", 1, 10), ("new", 1, 10), ("new", 2, 20), ("upd", 2, 5)]
+    e.sql("BEGIN ATOMIC DELETE FROM log; INSERT INTO log VALUES ('x', 0, 0); END")
+    assert rows(e.sql("SELECT * FROM log")) == [("x", 0, 0)]
+    assert rows(e.sql("BEGIN DECLARE i INT DEFAULT 0; WHILE i < 4 DO SET i = i + 1; END WHILE; SELECT i; END")) == [(4,)]
+
+
+def test_system_versioned_table(spark):
+    e = Engine(spark)
+    e.script("""
+        CREATE TABLE sv (id INTEGER PRIMARY KEY, v INTEGER, s TIMESTAMP GENERATED ALWAYS AS ROW START, f TIMESTAMP GENERATED ALWAYS AS ROW END, PERIOD FOR SYSTEM_TIME (s, f)) WITH SYSTEM VERSIONING;
+        INSERT INTO sv (id, v) VALUES (1, 10), (2, 20)
+    """)
+    first = rows(e.sql("SELECT max(s) FROM sv"))[0][0]
+    assert e.sql("UPDATE sv SET v = 11 WHERE id = 1") == 1 and e.sql("DELETE FROM sv WHERE id = 2") == 1
+    assert rows(e.sql("SELECT id, v FROM sv")) == [(1, 11)]
+    assert sorted(rows(e.sql(f"SELECT id, v FROM sv FOR SYSTEM_TIME AS OF TIMESTAMP '{first}' WHERE v > 0"))) == [(1, 10), (2, 20)]
+    assert len(rows(e.sql(f"SELECT x.id FROM sv FOR SYSTEM_TIME FROM TIMESTAMP '{first}' TO TIMESTAMP '9999-01-01' AS x"))) == 3
