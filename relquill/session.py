@@ -213,6 +213,7 @@ class Engine:
             ("REPLACE", "INTO"): self._insert, ("CREATE", "VIEW"): self._view, ("CREATE", "OR", "REPLACE", "VIEW"): self._view, ("CREATE", "SEQUENCE"): self._sequence, ("CREATE", "FUNCTION"): self._function,
             ("CREATE", "INDEX"): nothing, ("CREATE", "UNIQUE", "INDEX"): nothing, ("COMMENT",): nothing, ("SET", "TABLE"): self._source, ("SET",): nothing, ("START", "TRANSACTION"): self._begin, ("SAVEPOINT",): self._savepoint,
             ("RELEASE", "SAVEPOINT"): nothing, ("COMMIT",): self._commit, ("ROLLBACK",): self._rollback, ("CREATE", "TRIGGER"): self._trigger, ("BEGIN",): self._block, ("CREATE",): self._create, ("DROP",): self._drop, ("ALTER", "TABLE"): self._alter, ("EXPLAIN", "PLAN", "FOR"): self._explain, ("CALL",): self._call,
+            ("PERFORM", "EXPORT", "DATA"): self._export, ("PERFORM", "IMPORT", "DATA"): self._import, ("PERFORM", "IMPORT", "SCRIPT"): self._import_script, ("SCRIPT",): lambda _: self.dump(),
         }
 
     # --- queries
@@ -231,10 +232,30 @@ class Engine:
         at = Q._find(items, "CORRESPONDING")
         if at > 0:
             return self._corresponding(items, at)
+        if (recursive := self._recursive(items)) is not None:
+            return recursive
         items = self._system_time(self._with_sequences(items))
         text_ = Q.render(Q.rewrite(items, self.types))
         return self.spark.sql(text_, args=args) if args is not None else self.spark.sql(text_)
 
+    def _recursive(self, items: list[Tok]) -> DataFrame | None:
+        """WITH RECURSIVE c (..) AS (seed UNION step): distinct rows, step by step; UNION ALL is left to Spark."""
+        if [t.up for t in items[:2]] != ["WITH", "RECURSIVE"] or items[3].kind != "g" or items[4].up != "AS":
+            return None
+        body, main = items[5].items, items[6:]
+        at = next((i for i, t in enumerate(body) if t.up == "UNION"), -1)
+        if at < 0 or body[at + 1].up == "ALL" or not main or main[0].up == ",":
+            return None
+        name = items[2].text.lower()
+        columns = [Q.render(c).lower() for c in Q.split(items[3].items)]
+
+        def step(rows: DataFrame) -> DataFrame:
+            rows.createOrReplaceTempView(name)
+            return self.query(body[at + 1 + (body[at + 1].up == "DISTINCT") :]).toDF(*columns)
+
+        R.recursive_union(self.query(body[:at]).toDF(*columns), step).createOrReplaceTempView(name)
+        return self.query(main)
+
     def _corresponding(self, items: list[Tok], at: int) -> DataFrame:
         op_at = max(i for i in range(at) if items[i].up in Q._SETS)
         every = any(t.up == "ALL" for t in items[op_at:at])
@@ -593,6 +614,41 @@ class Engine:
         self._store(t, text.read_text_table(self.spark, schema, text.TextSettings.parse(source)))
         return 0
 
+    def _export(self, items: list[Tok]) -> int:
+        """PERFORM EXPORT DATA FROM TABLE t TO 'file;settings'"""
+        name, at = self._name(items, Q._find(items, "TABLE") + 1)
+        text.write_text_table(self._table(name).data.drop(RID), text.TextSettings.parse(items[at + 1].text[1:-1].replace("''", "'")))
+        return 0
+
+    def _import(self, items: list[Tok]) -> int:
+        """PERFORM IMPORT DATA INTO TABLE t FROM 'file;settings' [{CONTINUE | STOP | CHECK} ON ERROR]"""
+        name, at = self._name(items, Q._find(items, "TABLE") + 1)
+        t = self._table(name)
+        mode = items[at + 2].up if at + 2 < len(items) else "STOP"
+        schema = ", ".join(f"`{c.name}` {c.kind}" for c in t.columns)
+        rows = stage(text.read_text_table(self.spark, schema, text.TextSettings.parse(items[at + 1].text[1:-1].replace("''", "'")), on_error=mode), name)
+        self._store(t, t.data.drop(RID).unionByName(rows))
+        return rows.count()
+
+    def _import_script(self, items: list[Tok]) -> int:
+        source = next(x for x in items if x.kind == "s").text[1:-1]
+        lines = self.spark.read.text(source, wholetext=True).collect()  # a script is text for the driver, not data
+        return sum(len(self.script(r[0])) for r in lines)
+
+    def dump(self) -> DataFrame:
+        """SCRIPT: definitions and data as statements, a row each; the data's lines are made on the executors."""
+        out = None
+        for n, t in enumerate(self.tables.values()):
+            cells = [f"{c.name} {c.kind.upper()}{f' DEFAULT {c.default}' if c.default else ''}{' NOT NULL' if c.not_null else ''}" for c in t.columns]
+            cells += [f"PRIMARY KEY ({', '.join(t.key)})"] if t.key else []
+            cells += [f"UNIQUE ({', '.join(u)})" for u in t.unique] + [f"CHECK ({c})" for c in t.checks.values()]
+            cells += [f"FOREIGN KEY ({', '.join(f.columns)}) REFERENCES {f.parent} ({', '.join(f.target)}) ON DELETE {f.on_delete}" for f in t.foreign]
+            head = self.spark.createDataFrame([(n, 0, f"CREATE TABLE {t.name} ({', '.join(cells)})")], "t int, part int, statement string")
+            values = [F.when(F.col(c.name).isNull(), F.lit("NULL")).otherwise(F.concat(F.lit("'"), F.replace(F.col(c.name).cast("string"), F.lit("'"), F.lit("''")), F.lit("'")) if c.kind in ("string", "date") or c.kind.startswith("timestamp") else F.col(c.name).cast("string")) for c in t.columns]
+            rows = t.data.select(F.lit(n).alias("t"), F.lit(1).alias("part"), F.concat(F.lit(f"INSERT INTO {t.name} VALUES ("), F.concat_ws(", ", *values), F.lit(")")).alias("statement"))
+            out = head.unionByName(rows) if out is None else out.unionByName(head).unionByName(rows)
+        return out.orderBy("t", "part", "statement").select("statement") if out is not None else self.spark.createDataFrame([], "statement string")
+
     # --- changes
 
     def _table(self, name: str) -> TableDef:

@@ -60,6 +60,14 @@ CASES = {
     "minus": ("SELECT id FROM nums MINUS SELECT 1", [(2,), (3,), (4,)]),
     "values and quoted names": ('SELECT "a b" FROM (VALUES (1), (2)) AS t("a b") ORDER BY 1 DESC', [(2,), (1,)]),
     "table": ("SELECT count(*) FROM (TABLE nums)", [(4,)]),
+    "json": ("SELECT json_array(1, 'x', NULL), json_array(1, NULL ABSENT ON NULL), json_object('a': 1, KEY 'b' VALUE NULL), json_object('a': NULL ABSENT ON NULL)", [('[1,"x",null]', "[1]", '{"a":1,"b":null}', "{}")]),
+    "json aggregates": ("SELECT json_arrayagg(country ORDER BY yr), json_objectagg(yr VALUE sales) FROM revenue WHERE channel = 'SHOP'", [('["FR"]', '{"2020":3,"2021":6}')]),
+    "extract and difference": ("SELECT extract(DAY_NAME FROM DATE '2024-01-01'), difference('Robert', 'Rupert'), chr(233), extract(YEAR FROM DATE '2024-01-01')", [("Monday", 4, "é", 2024)]),
+    "trunc by type": ("SELECT CAST(trunc(b, 1) AS DECIMAL(5,1)), round(a * 0.5E0) FROM nums WHERE id = 1", [(Decimal("1.2"), 4.0)]),
+    "trunc of dates": ("SELECT trunc(x, 'MM') = DATE '2024-03-01', round(x, 'YYYY') = DATE '2024-01-01' FROM (VALUES (DATE '2024-03-20')) AS t(x)", [(True, True)]),
+    "rownum": ("SELECT max(n) FROM (SELECT rownum() AS n FROM nums)", [(4,)]),
+    "recursion over distinct rows": ("WITH RECURSIVE walk (n) AS (SELECT 1 UNION SELECT (n * 3) % 10 FROM walk) SELECT n FROM walk ORDER BY n", [(1,), (3,), (7,), (9,)]),
+    "recursion": ("WITH RECURSIVE up (n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM up WHERE n < 4) SELECT n FROM up ORDER BY n", [(1,), (2,), (3,), (4,)]),
     "call": ("CALL power(2, 3)", [(8.0,)]),
 }
 
@@ -172,3 +180,15 @@ def test_system_versioned_table(spark):
     assert rows(e.sql("SELECT id, v FROM sv")) == [(1, 11)]
     assert sorted(rows(e.sql(f"SELECT id, v FROM sv FOR SYSTEM_TIME AS OF TIMESTAMP '{first}' WHERE v > 0"))) == [(1, 10), (2, 20)]
     assert len(rows(e.sql(f"SELECT x.id FROM sv FOR SYSTEM_TIME FROM TIMESTAMP '{first}' TO TIMESTAMP '9999-01-01' AS x"))) == 3
+
+
+def test_export_import_and_script(spark, tmp_path):
+    e = Engine(spark)
+    e.script("CREATE TABLE ex (id INTEGER PRIMARY KEY, name VARCHAR(10)); INSERT INTO ex VALUES (1, 'o''k'), (2, NULL); CREATE TABLE im (id INTEGER, name VARCHAR(10))")
+    e.sql(f"PERFORM EXPORT DATA FROM TABLE ex TO '{tmp_path}/out;fs=|'")
+    assert e.sql(f"PERFORM IMPORT DATA INTO TABLE im FROM '{tmp_path}/out;fs=|' STOP ON ERROR") == 2
+    assert sorted(rows(e.sql("SELECT * FROM im"))) == [(1, "o'k"), (2, None)]
+    statements = [r[0] for r in e.sql("SCRIPT").collect()]
+    again = Engine(spark)
+    again.script("; ".join(statements))
+    assert sorted(rows(again.sql("SELECT * FROM ex"))) == [(1, "o'k"), (2, None)]
