@@ -35,6 +35,8 @@ _INLINE = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr p li dt dd option tr td th thead tbody tfoot".split())
 _ASIDE = frozenset("nav header footer aside form menu dialog select button fieldset label".split())
+#: Elements that hold the content: class names on them ("has-sidebar") tell of the layout, not of what they are.
+_WHOLE = frozenset("html body article main".split())
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|commentlist|respond|reply|replies|disqus|sidebar|side|widgets?|menu|nav|navbar|navigation|breadcrumbs?|"
@@ -66,7 +68,7 @@ def _marked(name: str, attrs: str) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key in ("class", "id") and _HINT.search(value):
+        if key in ("class", "id") and name not in _WHOLE and _HINT.search(value):
             return True
         if key == "role" and value.lower() in _ROLES:
             return True
@@ -174,6 +176,12 @@ TABLE = (
     (3, 0.00, 2, 0.00, 1, 0.00, 0, 1, 0, 1, 1), (120, 0.05, 30, 0.00, 25, 0.10, 0, 1, 0, 1, 1), (2, 0.00, 90, 0.00, 6, 0.00, 0, 1, 0, 1, 1),
     (25, 0.30, 60, 0.00, 70, 0.00, 0, 1, 0, 1, 1), (12, 0.00, 1, 1.00, 200, 0.00, 0, 1, 1, 1, 1), (40, 0.00, 12, 0.00, 14, 0.10, 0, 1, 0, 1, 1),
     (5, 0.40, 70, 0.00, 50, 0.00, 0, 1, 0, 1, 1), (1, 0.00, 1, 0.00, 9, 0.00, 0, 1, 0, 1, 1), (300, 0.00, 9, 0.00, 11, 0.15, 0, 1, 0, 1, 1),
+    # at the ends of a page, or alone on it
+    (20, 0.00, 0, 0.00, 0, 0.00, 0, 1, 0, 1, 1), (45, 0.00, 30, 0.00, 0, 0.00, 0, 1, 0, 1, 1), (4, 0.00, 30, 0.00, 0, 0.00, 0, 1, 0, 1, 1),
+    (150, 0.00, 0, 0.00, 0, 0.00, 0, 1, 0, 1, 1), (1, 0.00, 12, 0.00, 0, 0.00, 0, 1, 0, 1, 1), (3, 0.00, 0, 0.00, 0, 0.00, 0, 1, 1, 1, 1),
+    (50, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 1), (60, 0.00, 45, 0.00, 0, 0.00, 0, 0, 0, 0, 1), (35, 0.05, 20, 0.00, 0, 0.00, 0, 0, 0, 0, 1),
+    (20, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 1), (40, 0.00, 60, 0.00, 0, 0.00, 0, 0, 0, 1, 0), (15, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 1, 0),
+    (40, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0, 0, 0), (12, 0.00, 45, 0.00, 0, 0.00, 1, 1, 0, 1, 0), (6, 0.00, 40, 0.00, 0, 0.00, 0, 0, 0, 0, 0),
     # lists of links in an article
     (3, 1.00, 2, 1.00, 4, 1.00, 0, 1, 0, 1, 0), (5, 1.00, 60, 0.00, 5, 1.00, 0, 1, 0, 1, 0), (6, 0.90, 4, 1.00, 0, 0.00, 0, 1, 0, 1, 0),
     (2, 1.00, 50, 0.00, 12, 0.00, 0, 1, 0, 1, 0), (9, 0.95, 8, 1.00, 30, 0.00, 0, 1, 0, 1, 0), (1, 1.00, 1, 1.00, 1, 1.00, 0, 1, 0, 1, 0),

@@ -77,6 +77,13 @@ PAGE = """<html><head><title>t</title><style>p{}</style><script>var a = "<p>no</
 <aside>Related: nothing</aside><footer>Copyright 2024 all rights reserved by nobody</footer></body></html>"""
 
 
+def test_layout_classes_do_not_hide_the_article():
+    text = "a paragraph that is long enough to be taken for the text of a page, with no link in it"
+    for head in ('<body class="has-sidebar no-footer">', '<body><article class="post with-comments">', '<body id="header-fixed"><main class="search-page">'):
+        assert html_text.main_text(f"{head}<p>{text}</p>") == text
+    assert html_text.main_text(f'<article><p>{text}</p><div class="cookie-notice"><p>{text}</p></div></article>') == text
+
+
 def test_pages(spark, sf_dir):
     want = ["The title", "First éparagraph with bold and a link in a long enough line of text to read.", "Second <paragraph> é\U0001f600 of the same article, again long enough to be taken for text."]
     assert html_text.main_text(PAGE) == "\n\n".join(want)
