@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relquill.llm._shared import WORD, read_table, stage
+from relquill.llm._shared import BROADCAST_IDS, WORD, read_table, stage
 
 SLOT_BITS = 18
 CELLS = 1024
@@ -120,8 +120,11 @@ def mix(
     upto = F.col("n_slots") * F.expr("total div n") + F.expr("(n_slots * (total % n)) div n")
     t = t.withColumn("words", F.least(upto, F.col("source_size") * MOST))
     t = t.withColumn("parts", F.ceil(F.sqrt(F.col("docs").cast("double"))))
-    line = rows.join(t.select("key", "source_size", "target", "total", "n", "words", "parts"), "key")
-    line = line.withColumn("bucket", F.pmod("h", "parts"))
+    t = t.select("key", "source_size", "target", "total", "n", "words", "parts")
+    # a row for each source: few enough (counted) they are sent to all rows, and no source's rows meet in one task
+    few = targets.count() <= BROADCAST_IDS
+    line = rows.join(F.broadcast(t) if few else t, "key").withColumn("bucket", F.pmod("h", "parts"))
+    line = line if few else line.repartition("key", "bucket")
     line = running_sum(line, ["key"], "bucket", [F.col("h"), F.col("id"), F.col("h2"), F.col("size")], "size", "at")
     laps = F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0))
     rest = F.when(F.col("source_size") > 0, F.expr("words % source_size")).otherwise(F.lit(0))
