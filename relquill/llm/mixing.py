@@ -91,14 +91,11 @@ def schedule(spark: SparkSession, targets: DataFrame, slot_bits: int = SLOT_BITS
     return running_sum(slots, ["key"], "bucket", [F.col("slot")], "one", "rank").select("key", "rank", "slot")
 
 
-def mix(
+def lines_taken(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, extra: tuple[str, ...] = (), slot_bits: int = SLOT_BITS,
-) -> DataFrame:
-    """Per document: id, size, source_size, target, taken, and the first slot that carries it (null: none).
-
-    ``extra`` columns go along; they must not be named as one of these.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """The sources' lines (id, key, size, source_size, target, at, total, n, taken) and the schedule's slots."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     # a null source sorts last: keys of named ones begin with "0", its own is "1"
@@ -130,6 +127,18 @@ def mix(
     rest = F.when(F.col("source_size") > 0, F.expr("words % source_size")).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))
     line = line.withColumn("taken", (laps * F.col("size") + part).cast("long"))
+    return line, slots
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, extra: tuple[str, ...] = (), slot_bits: int = SLOT_BITS,
+) -> DataFrame:
+    """Per document: id, size, source_size, target, taken, and the first slot that carries it (null: none).
+
+    ``extra`` columns go along; they must not be named as one of these.
+    """
+    line, slots = lines_taken(docs, id_col, text_col, source_col, weights, seed, extra, slot_bits)
     # the block that the document's first word is in on the first lap: block r ends where (r + 1) * total / n words end
     block = F.floor((F.col("at").cast("decimal(38,0)") * F.col("n") + F.col("n") - 1) / F.greatest(F.col("total"), F.lit(1))).cast("long")
     line = line.withColumn("rank", F.when(F.col("taken") > 0, block))
@@ -147,7 +156,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them: whole copies, and where a block's edge cuts one, its first words."""
     cols = docs.columns
     packed = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in cols]))
-    got = mix(packed, extra=("__row",))
+    got, _ = lines_taken(packed, extra=("__row",))  # which slot comes first is of no use here: texts are moved once
     whole, part = F.expr("taken div size").cast("int"), F.expr("taken % size")
     got = got.where("taken > 0").withColumn("__part", part)
     got = got.withColumn("__copy", F.explode(F.sequence(F.lit(1), whole + F.when(F.col("__part") > 0, 1).otherwise(0)))).withColumn("__whole", whole)
