@@ -3,9 +3,10 @@
 Every source's documents, shuffled by a hash, form one line of words. The mix has 2**k slots. Slot i has the
 van der Corput point of i (its bits mirrored), which falls into one source's interval of the cumulative
 weights; slots are ranked within their source, and the slot of rank r carries the r-th block of the
-source's line, lap after lap. Blocks are cut at equal numbers of words (to one word), so a slot is a
-fixed share of the mix, any run of slots is close to the target weights, and over all slots a source gets
-its target to one slot.
+source's line, lap after lap. A source gets its target to one word, however large the mix and however small the
+source: slots give the order only. A source's words are cut into as many equal blocks (to one word) as it has slots,
+so any run of slots is close to the target weights. A source whose interval holds no point goes, whole, with the
+slot whose point is the last before it.
 
 Running sums (places on the line, ranks of slots) are two-level: within buckets of about the square root of
 a source's documents, and over the buckets. So neither a source with most of the rows nor one
@@ -74,7 +75,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 def schedule(spark: SparkSession, targets: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
     """(key, rank, slot): which block of which source each slot of the mix carries.
 
-    There are 2**k slots, k at most ``slot_bits`` and such that a slot holds a word at least.
+    There are 2**k slots, k at most ``slot_bits`` and such that a slot holds a word at least. A source between two
+    points shares the slot of the one before it, so every source with a target has a slot.
     """
     k = F.least(F.lit(slot_bits), F.floor(F.log2(F.greatest(F.col("total").cast("double"), F.lit(1.0))))).cast("int")
     grid = targets.withColumn("k", k).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
@@ -88,14 +90,18 @@ def schedule(spark: SparkSession, targets: DataFrame, slot_bits: int = SLOT_BITS
     slots = points.join(grid, "cell").where("u >= lo AND u < hi AND slot < cast(pow(2, k) AS long)").select("key", "slot")
     slots = slots.withColumn("bucket", F.col("slot").bitwiseAND(F.lit(511))).withColumn("one", F.lit(1))
     # a slot's bucket is its remainder, so ranks follow the buckets first; any fixed order will do
-    return running_sum(slots, ["key"], "bucket", [F.col("slot")], "one", "rank").select("key", "rank", "slot")
+    ranked = running_sum(slots, ["key"], "bucket", [F.col("slot")], "one", "rank").select("key", "rank", "slot")
+    n = F.pow(F.lit(2.0), F.col("k"))  # a power of two: lo * n and hi * n are exact
+    between = targets.withColumn("k", k).where("hi > lo").where(F.ceil(F.col("lo") * n) == F.ceil(F.col("hi") * n))
+    mirrored = F.conv(F.reverse(F.lpad(F.bin(F.floor(F.col("lo") * n)), F.col("k"), "0")), 2, 10).cast("long")
+    return ranked.unionByName(between.select("key", F.lit(0).cast("long").alias("rank"), F.coalesce(mirrored, F.lit(0)).cast("long").alias("slot")))
 
 
 def lines_taken(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, extra: tuple[str, ...] = (), slot_bits: int = SLOT_BITS,
 ) -> tuple[DataFrame, DataFrame]:
-    """The sources' lines (id, key, size, source_size, target, at, total, n, taken) and the schedule's slots."""
+    """The sources' lines (id, key, size, source_size, target, at, words, n_slots, taken) and the schedule's slots."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     # a null source sorts last: keys of named ones begin with "0", its own is "1"
@@ -111,13 +117,11 @@ def lines_taken(
     got = slots.groupBy("key").agg(F.count(F.lit(1)).alias("n_slots"))
 
     t = targets.join(got, "key", "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(0)).cast("long"))
-    k = F.least(F.lit(slot_bits), F.floor(F.log2(F.greatest(F.col("total").cast("double"), F.lit(1.0))))).cast("int")
-    t = t.withColumn("n", F.pow(F.lit(2.0), k).cast("long"))
-    # words up to the end of a source's last slot, in whole numbers that cannot overflow
-    upto = F.col("n_slots") * F.expr("total div n") + F.expr("(n_slots * (total % n)) div n")
-    t = t.withColumn("words", F.least(upto, F.col("source_size") * MOST))
+    # whole words between the ends of the interval: to one word the target, and over all sources the total
+    words = F.rint(F.col("hi") * F.col("total")) - F.rint(F.col("lo") * F.col("total"))
+    t = t.withColumn("words", F.greatest(F.lit(0), F.least(words.cast("long"), F.col("source_size") * MOST)))
     t = t.withColumn("parts", F.ceil(F.sqrt(F.col("docs").cast("double"))))
-    t = t.select("key", "source_size", "target", "total", "n", "words", "parts")
+    t = t.select("key", "source_size", "target", "words", "n_slots", "parts")
     # a row for each source: few enough (counted) they are sent to all rows, and no source's rows meet in one task
     few = targets.count() <= BROADCAST_IDS
     line = rows.join(F.broadcast(t) if few else t, "key").withColumn("bucket", F.pmod("h", "parts"))
@@ -139,8 +143,8 @@ def mix(
     ``extra`` columns go along; they must not be named as one of these.
     """
     line, slots = lines_taken(docs, id_col, text_col, source_col, weights, seed, extra, slot_bits)
-    # the block that the document's first word is in on the first lap: block r ends where (r + 1) * total / n words end
-    block = F.floor((F.col("at").cast("decimal(38,0)") * F.col("n") + F.col("n") - 1) / F.greatest(F.col("total"), F.lit(1))).cast("long")
+    # the block that the document's first word is in on the first lap: a source's words are n_slots equal blocks
+    block = F.expr("(at * n_slots) div greatest(words, 1)")
     line = line.withColumn("rank", F.when(F.col("taken") > 0, block))
     first = slots.select(F.col("key").alias("sk"), F.col("rank").alias("sr"), F.col("slot").alias("first_slot"))
     out = line.join(first, (F.col("key") == F.col("sk")) & (F.col("rank") == F.col("sr")), "left")

@@ -78,3 +78,13 @@ def test_stage_repeats_and_cuts(spark, sf_dir):
     for r in out.collect():
         words[r["doc_id"]] += len(WORD.findall(r["text"]))
     assert words == Counter({k: v for k, v in taken.items() if v})
+
+
+def test_sources_smaller_than_a_slot_get_their_targets(spark):
+    rows = [(i, "w " * 500, "big") for i in range(400)] + [(1000 + i, "a b c", f"tiny{i:02d}") for i in range(40)] + [(2000, "x y", None)]
+    docs = documents(spark, rows)
+    got = mixing.mix(docs, slot_bits=6).collect()  # slots of about 3,000 words
+    check(rows, got, 1)
+    assert all((r["first_slot"] is not None) == (r["taken"] > 0) for r in got)
+    assert all(0 <= r["first_slot"] < 64 for r in got if r["taken"])
+    assert len({r["first_slot"] for r in got if r["doc_id"] < 1000}) > 32
