@@ -1,7 +1,8 @@
 """Secrets in texts, also under layers of URL, Unicode-escape, base64 and compressed encoding.
 
 A worklist holds layers: a text with, for each of its characters, the span of the original text it came
-from. A layer is scanned, then every decoder that finds something to unwrap in it adds a layer; a layer
+from. Base64 is read from single runs, from runs joined over single line ends (standing for the whole block), and
+from inside a run, after '/', '-' and '_', where other characters are glued to it. A layer is scanned, then every decoder that finds something to unwrap in it adds a layer; a layer
 whose text was seen before is not added again (so cycles end), and the work ends when the list is empty.
 Spans found in a layer are mapped to code points of the original. All layers of a text are worked through:
 each decoder shortens its input except decompression, which is held to ``MAX_INFLATED`` characters a text
@@ -47,6 +48,12 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# runs joined over single line ends; possessive, and begun at a run's start alone, so prose costs one pass
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_GLUE = re.compile("[/_-]")
+_BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
+# decoded text of at least the shortest secret's length
+_READABLE = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){16,}")
 
 
 def scan(text: str) -> list[tuple[int, str, int]]:
@@ -108,8 +115,16 @@ def _inflate(data: bytes, room: int) -> tuple[bytes, bool] | None:
             return (got, bool(d.unconsumed_tail)) if d.eof or got else None
         else:
             return None
-        got = stream.read(room + 1)
-        return got[:room], len(got) > room
+        parts, size = [], 0
+        try:
+            while size <= room and (part := stream.read1(min(1 << 20, room + 1 - size))):
+                parts.append(part)
+                size += len(part)
+        except Exception:  # noqa: BLE001  cut short, or other characters follow: what came before stays
+            if not parts:
+                return None
+        got = b"".join(parts)
+        return got[:room], size > room
     except Exception:  # noqa: BLE001  looked like it, but is no such stream
         return None
 
@@ -137,6 +152,50 @@ def _unbase64(token: str) -> bytes | None:
 _STANDARD = str.maketrans("-_", "+/")
 
 
+def _restarts(token: str, starts: list[int]) -> list[tuple[int | None, int, bytes, bool]]:
+    """(restart or None, first character, bytes, whether they begin a stream) inside a token that other characters may be glued to.
+
+    The token is decoded at its four alignments, once each: a restart's bytes are the end of its alignment's. Readable
+    text is taken wherever it stands, streams and UTF-16 where a restart has their mark.
+    """
+    core = token.rstrip("=").translate(_STANDARD)
+    out = []
+    for a in range(4):
+        part = core[a:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        out += [(None, a + m.start() // 3 * 4, m[0], False) for m in _READABLE.finditer(data)]
+        for o in starts:
+            if o % 4 == a:
+                at = (o - a) // 4 * 3
+                head = data[at : at + 6]
+                zlib_head = len(head) > 2 and head[0] & 0x0F == 8 and (head[0] << 8 | head[1]) % 31 == 0
+                if zlib_head or head.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd", b"\xff\xfe", b"\xfe\xff")):
+                    out.append((o, o, data[at:], True))
+    return out
+
+
+def _glued(layer: _Layer, a: int, b: int, token: str, starts: list[int], whole: bool, room: list[int]) -> list[_Layer]:
+    """Layers of a token's restarts; they stand for the token from the restart on, or for the ``whole`` of it."""
+    out = []
+    for _, first, data, stream in _restarts(token, starts):
+        if stream:
+            plain = None
+            while data and (plain := _plain(data)) is None:
+                got = _inflate(data, room[0])
+                data = got and got[0]
+                if got:
+                    room[0] = max(1, room[0] - len(got[0]))
+                    room[1] |= got[1]
+        else:
+            plain = data.decode("utf-8", "replace")
+        if plain:
+            begin = 0 if whole else max((o for o in starts if o <= first and (o - first) % 4 == 0), default=first)
+            s, e = layer.span(a + begin, b)
+            out.append(_Layer(plain, np.full(len(plain), s), np.full(len(plain), e)))
+    return out
+
+
 def unwrap(layer: _Layer, room: list[int]) -> list[_Layer]:
     """The layers one step further in: one for URL and Unicode escapes each, one for each base64 token."""
     text, out = layer.text, []
@@ -173,6 +232,14 @@ def unwrap(layer: _Layer, room: list[int]) -> list[_Layer]:
             if got:
                 room[0] = max(1, room[0] - len(got[0]))
                 room[1] |= got[1]
+        out += _glued(layer, m.start(), m.end(), m[0], [x.end() for x in _GLUE.finditer(m[0])], False, room)
+    for m in _WRAPPED.finditer(text):
+        lines = _BREAK.split(m[0])
+        token = "".join(lines)
+        if len(token) >= 16:
+            begins = np.cumsum([0, *map(len, lines[:-1])]).tolist()
+            starts = sorted({*begins, *(x.end() for x in _GLUE.finditer(token))})
+            out += _glued(layer, m.start(), m.end(), token, starts, True, room)
     return out
 
 

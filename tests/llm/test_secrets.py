@@ -74,3 +74,19 @@ def test_cycles_bombs_and_edges(spark):
     out = S.secrets_stage(spark, df, "").collect()
     assert len(out) == len(ODD) and [r["text"] for r in out if r["doc_id"] == 1] == [None]
     assert S.secret_spans(documents(spark, [])).count() == 0
+
+
+def test_wrapped_and_glued_base64():
+    plain = "x" * 50 + " password = correct-horse-battery " + "".join(hashlib.md5(bytes([i])).hexdigest().upper() for i in range(20))
+    for data in (plain.encode(), gzip.compress(plain.encode()), zlib.compress(plain.encode())):
+        lines = base64.encodebytes(data).decode().rstrip("\n")
+        assert lines.count("\n") > 1
+        for block in (lines, lines.replace("\n", "\r\n")):
+            text = f"see:\n\n{block}\n\nend"
+            spans = [(s, e) for s, k, e in S.find_secrets(text)[1] if k == "assign"]
+            assert (text.index(block), text.index(block) + len(block)) in spans
+            assert S.redacted(f"-----BEGIN DATA-----\n{block}\n-----END DATA-----").count("\n") < 3
+        token = base64.b64encode(data).decode()
+        for glue in ("path/", "some-", "a_", "/ab/c/"):
+            spans = [(s, e) for s, k, e in S.find_secrets(f"at {glue}{token} end")[1] if k == "assign"]
+            assert any(3 <= s <= 3 + len(glue) and e == 3 + len(glue) + len(token) for s, e in spans), glue
