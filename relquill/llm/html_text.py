@@ -5,6 +5,9 @@ link density, those of the block before and after it, and what its open elements
 an article, or inside something marked as not content). A decision tree, grown here from the small
 labelled table below, keeps or drops each block. Blocks kept are joined in page order.
 
+Reading takes time linear in the page: what the open elements say is carried along on the stack. Text of drawings
+(svg) is markup, text of formulas (math) is not.
+
 Edge cases: null and empty pages give the empty text; unclosed and truncated markup is read as far
 as it goes (an unfinished tag at the end is dropped, as browsers do); pages of any length are read whole;
 extra columns are ignored.
@@ -14,8 +17,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,22 +32,28 @@ _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<[!?/A-Za-z][^>]*+(?:>|\Z)""",
     re.S,
 )
-_RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "head", "title", "textarea", "canvas", "audio", "video")
+_RAW = ("script", "style", "noscript", "template", "iframe", "svg", "object", "head", "title", "textarea", "canvas", "audio", "video")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in _RAW}
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover q rp semantics rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr p li dt dd option tr td th thead tbody tfoot".split())
 _ASIDE = frozenset("nav header footer aside form menu dialog select button fieldset label".split())
 #: Elements that hold the content: class names on them ("has-sidebar") tell of the layout, not of what they are.
 _WHOLE = frozenset("html body article main".split())
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|commentlist|respond|reply|replies|disqus|sidebar|side|widgets?|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|foot|masthead|header|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|"
-    r"trending|popular|toolbar|pagination|pager|tags?|copyright|legal|disclaimer|hidden|skip)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words of class names and ids that say an element isn't content.
+_HINTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promotion comment comments commentlist respond reply replies disqus sidebar side "
+    "widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead header cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe "
+    "signup login search share sharing social related recommended recommendations trending popular toolbar pagination pager tags copyright legal disclaimer hidden skip".split()
 )
+#: Names by which an element says that it holds the content: a hint that is only part of another of its names is then a detail.
+_CONTENT = frozenset("post entry content story article main body text hentry page blog".split())
+#: First and last words of names that tell a state or a category ("has-header", "tag-news", "share-enabled"), not what the element is.
+_STATE_FIRST = frozenset("has have no not non with without is are tag category cat format status type layout template show hide".split())
+_STATE_LAST = frozenset("enabled disabled on off open closed none active visible".split())
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
@@ -60,6 +70,20 @@ class Block:
     heading: bool
 
 
+@lru_cache(4096)
+def _hinted(value: str) -> bool:
+    """Whether a class or id says that its element isn't content."""
+    names = [[w.lower() for w in _NAME.findall(x)] for x in value.split()]
+    content = any("".join(words) in _CONTENT for words in names)
+    for words in names:
+        if len(words) == 1:
+            if words[0] in _HINTS:
+                return True
+        elif words and not content and words[0] not in _STATE_FIRST and words[-1] not in _STATE_LAST and not _HINTS.isdisjoint(words):
+            return True
+    return False
+
+
 def _marked(name: str, attrs: str) -> bool:
     """Whether an element says of itself that it isn't content."""
     if name in _ASIDE:
@@ -68,7 +92,7 @@ def _marked(name: str, attrs: str) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key in ("class", "id") and name not in _WHOLE and _HINT.search(value):
+        if key in ("class", "id") and name not in _WHOLE and _hinted(value):
             return True
         if key == "role" and value.lower() in _ROLES:
             return True
@@ -82,7 +106,10 @@ def _marked(name: str, attrs: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """The page's flat text blocks, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open elements that say something of what is in them
+    # open elements: name, whether in an article, whether marked since the nearest one, whether headers alone are
+    stack: list[tuple[str, bool, bool, bool]] = []
+    open_names: Counter[str] = Counter()
+    loose: dict[str, int] = {}  # marked elements that need no end tag, and the depth they stand at
     text: list[str] = []
     linked: list[str] = []
     anchor, heading, at = False, False, 0
@@ -90,13 +117,11 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         words = "".join(text).split()
         if words:
-            inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("article", "main")), -1)
-            # what is marked outside the nearest article does not mark the article
-            aside = any(m for _, m in stack[max(inner, 0) :])
-            if aside and heading and inner >= 0 and {n for n, m in stack[inner:] if m} == {"header"}:
-                aside = False  # the article's own title
+            _, inner, aside, headers = stack[-1] if stack else ("", False, False, True)
+            # what is marked outside the nearest article does not mark the article; its own title may stand in a header
+            aside = bool(loose) or aside and not (heading and inner and headers)
             n = len("".join(linked).split())
-            out.append(Block(" ".join(words), len(words), min(1.0, n / len(words)), aside, inner >= 0, heading))
+            out.append(Block(" ".join(words), len(words), min(1.0, n / len(words)), aside, inner, heading))
         text.clear()
         linked.clear()
 
@@ -125,11 +150,15 @@ def blocks(page: str) -> list[Block]:
         flush()
         if m["end"]:
             heading = False if name in _HEADING else heading
-            if name not in _VOID:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
+            loose.pop(name, None)
+            if name not in _VOID and open_names[name]:
+                while True:
+                    last = stack.pop()[0]
+                    open_names[last] -= 1
+                    if last == name:
                         break
+                if loose:
+                    loose = {x: depth for x, depth in loose.items() if depth <= len(stack)}
             anchor = False
             continue
         if name in _RAW and not (m["attrs"] or "").endswith("/"):
@@ -142,13 +171,17 @@ def blocks(page: str) -> list[Block]:
             continue
         heading = name in _HEADING
         anchor = False
+        marked = _marked(name, m["attrs"] or "")
         if name not in _VOID and not (m["attrs"] or "").endswith("/"):
-            stack.append((name, _marked(name, m["attrs"] or "")))
-        elif name in ("p", "li", "td", "dd") and _marked(name, m["attrs"] or ""):
-            stack[:] = [x for x in stack if x[0] != name]
-            stack.append((name, True))
+            _, inner, aside, headers = stack[-1] if stack else ("", False, False, True)
+            if name in ("article", "main"):
+                inner, aside, headers = True, False, True
+            stack.append((name, inner, aside or marked, headers and (not marked or name == "header")))
+            open_names[name] += 1
         elif name in ("p", "li", "td", "dd"):
-            stack[:] = [x for x in stack if x[0] != name]
+            loose.pop(name, None)
+            if marked:
+                loose[name] = len(stack)
     flush()
     return out
 
@@ -182,9 +215,9 @@ TABLE = (
     (50, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 1), (60, 0.00, 45, 0.00, 0, 0.00, 0, 0, 0, 0, 1), (35, 0.05, 20, 0.00, 0, 0.00, 0, 0, 0, 0, 1),
     (20, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 1), (40, 0.00, 60, 0.00, 0, 0.00, 0, 0, 0, 1, 0), (15, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 1, 0),
     (40, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0, 0, 0), (12, 0.00, 45, 0.00, 0, 0.00, 1, 1, 0, 1, 0), (6, 0.00, 40, 0.00, 0, 0.00, 0, 0, 0, 0, 0),
-    # lists of links in an article
-    (3, 1.00, 2, 1.00, 4, 1.00, 0, 1, 0, 1, 0), (5, 1.00, 60, 0.00, 5, 1.00, 0, 1, 0, 1, 0), (6, 0.90, 4, 1.00, 0, 0.00, 0, 1, 0, 1, 0),
-    (2, 1.00, 50, 0.00, 12, 0.00, 0, 1, 0, 1, 0), (9, 0.95, 8, 1.00, 30, 0.00, 0, 1, 0, 1, 0), (1, 1.00, 1, 1.00, 1, 1.00, 0, 1, 0, 1, 0),
+    # lists of links in an article, such as its references
+    (3, 1.00, 2, 1.00, 4, 1.00, 0, 1, 0, 1, 1), (5, 1.00, 60, 0.00, 5, 1.00, 0, 1, 0, 1, 1), (6, 0.90, 4, 1.00, 0, 0.00, 0, 1, 0, 1, 1),
+    (2, 1.00, 50, 0.00, 12, 0.00, 0, 1, 0, 1, 1), (9, 0.95, 8, 1.00, 30, 0.00, 0, 1, 0, 1, 1), (1, 1.00, 1, 1.00, 1, 1.00, 0, 1, 0, 1, 1),
     # marked as something else, whatever their size
     (1, 1.00, 0, 0.00, 1, 1.00, 1, 0, 0, 1, 0), (8, 0.00, 1, 1.00, 12, 0.00, 1, 0, 0, 1, 0), (14, 0.10, 50, 0.00, 0, 0.00, 1, 0, 0, 1, 0),
     (60, 0.00, 70, 0.00, 55, 0.00, 1, 1, 0, 1, 0), (45, 0.00, 30, 0.00, 20, 0.00, 1, 0, 0, 1, 0), (5, 0.00, 6, 0.00, 40, 0.00, 1, 1, 1, 1, 0),

@@ -2,11 +2,15 @@
 
 A worklist holds layers: a text with, for each of its characters, the span of the original text it came
 from. Base64 is read from single runs, from runs joined over single line ends (standing for the whole block), and
-from inside a run, after '/', '-' and '_', where other characters are glued to it. A layer is scanned, then every decoder that finds something to unwrap in it adds a layer; a layer
-whose text was seen before is not added again (so cycles end), and the work ends when the list is empty.
-Spans found in a layer are mapped to code points of the original. All layers of a text are worked through:
-each decoder shortens its input except decompression, which is held to ``MAX_INFLATED`` characters a text
-against decompression bombs; a text that meets this guard says so in ``inflate_limit_hit``.
+from inside a run, after '/', '-' and '_', where other characters are glued to it; compressed bytes also from percent-encoded
+runs. A run of under 16 characters holds too few for any secret. A layer is scanned, then every decoder that finds something to
+unwrap in it adds a layer; a layer whose text was seen before for the same part of the original is not added again (so cycles
+end), and the work ends when the list is empty. Spans found in a layer are mapped to code points of the original.
+
+Each decoder shortens its input except decompression, which is held to ``MAX_INFLATED`` bytes a text against
+decompression bombs (equal streams are inflated and charged once). A text that meets this guard says so in
+``inflate_limit_hit``, and redaction takes the whole of a token that was cut short. Of a damaged stream, the part before the
+damage is read.
 
 Edge cases: null and empty texts have no secrets. Base matches always stay, in whatever layers.
 """
@@ -21,14 +25,19 @@ import io
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relquill.llm._shared import prepare, read_table
 
+#: Bytes inflated at a time.
+PIECE = 1 << 20
 KINDS = ("assign", "access", "hex")
 MAX_INFLATED = 64 << 20
 
@@ -50,6 +59,10 @@ _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-F
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 # runs joined over single line ends; possessive, and begun at a run's start alone, so prose costs one pass
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+# percent-encoded gzip, bzip2, xz, zstd and zlib streams
+_PACKED = re.compile(
+    r"(?:%1[Ff]%8[Bb]|BZh[1-9]|%[Ff][Dd]7zXZ|(?:%28|\()%[Bb]5(?:%2[Ff]|/)%[Ff][Dd]|(?:%78|x)%(?:01|5[Ee]|9[Cc]|[Dd][Aa]))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+()!*'/-])*"
+)
 _GLUE = re.compile("[/_-]")
 _BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
 # decoded text of at least the shortest secret's length
@@ -69,7 +82,10 @@ def scan(text: str) -> list[tuple[int, str, int]]:
 
 
 class _Layer:
-    """A text; start[i]:end[i] is what its i-th character stands for in the original (None: itself)."""
+    """A text; start[i]:end[i] is what its i-th character stands for in the original.
+
+    Two numbers say that every character stands for the same span, None that it stands for itself.
+    """
 
     def __init__(self, text: str, start=None, end=None) -> None:
         self.text, self.start, self.end = text, start, end
@@ -77,64 +93,126 @@ class _Layer:
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.start is None:
             return a, b
+        if isinstance(self.start, int):
+            return self.start, self.end
         return int(self.start[a]), int(self.end[b - 1])
 
-    def replaced(self, parts: list[tuple[int, int, str, bool]]) -> _Layer:
-        """The layer with (a, b, new text, whether each new character stands for all of a:b) put in."""
+    def key(self) -> bytes:
+        """What tells a layer from others: its text and the spans."""
+        made = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        for x in (self.start, self.end):
+            made.update(b"|" + (str(x).encode() if x is None or isinstance(x, int) else x.tobytes()))
+        return made.digest()
+
+    def inside(self, text: str, a: int, b: int) -> _Layer:
+        """A layer of what the characters a:b hold."""
+        return _Layer(text, *self.span(a, b))
+
+    def replaced(self, parts: list[tuple[int, int, str]]) -> _Layer:
+        """The layer with (a, b, new text) put in."""
+        texts, at = [], 0
+        for a, b, new in parts:
+            texts += [self.text[at:a], new]
+            at = b
+        texts.append(self.text[at:])
+        text = "".join(texts)
+        if isinstance(self.start, int):
+            return _Layer(text, self.start, self.end)
         n = len(self.text)
         start = np.arange(n) if self.start is None else self.start
         end = np.arange(1, n + 1) if self.end is None else self.end
-        texts, starts, ends, at = [], [], [], 0
-        for a, b, new, _ in parts:
-            texts += [self.text[at:a], new]
+        starts, ends, at = [], [], 0
+        for a, b, new in parts:
             s, e = self.span(a, b)
             starts += [start[at:a], np.full(len(new), s)]
             ends += [end[at:a], np.full(len(new), e)]
             at = b
-        texts.append(self.text[at:])
         starts.append(start[at:])
         ends.append(end[at:])
-        return _Layer("".join(texts), np.concatenate(starts), np.concatenate(ends))
+        return _Layer(text, np.concatenate(starts), np.concatenate(ends))
+
+
+def _zlib_head(data: bytes) -> bool:
+    return len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0
+
+
+def _compressed(data: bytes) -> bool:
+    return _zlib_head(data) or data.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd"))
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """What a stream inflates to, in pieces; ends, or raises, where the stream is damaged."""
+    if data[:2] == b"\x1f\x8b":
+        stream = gzip.GzipFile(fileobj=io.BytesIO(data))
+    elif data[:3] == b"BZh":
+        stream = bz2.BZ2File(io.BytesIO(data))
+    elif data[:6] == b"\xfd7zXZ\x00":
+        stream = lzma.LZMAFile(io.BytesIO(data))
+    elif data[:4] == b"\x28\xb5\x2f\xfd":
+        stream = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data))
+    else:
+        plain, at = zlib.decompressobj(), 0
+        while at < len(data) and not plain.eof:  # little by little, so that damage costs little of what stands before it
+            part = plain.decompress(data[at : at + 256], PIECE)
+            at += 256
+            while part:
+                yield part
+                part = plain.decompress(plain.unconsumed_tail, PIECE) if plain.unconsumed_tail else b""
+        return
+    while part := stream.read1(PIECE) if hasattr(stream, "read1") else stream.read(PIECE):
+        yield part
 
 
 def _inflate(data: bytes, room: int) -> tuple[bytes, bool] | None:
-    """(plain bytes, whether ``room`` cut them short), or None if the data isn't compressed."""
+    """(plain bytes, whether ``room`` cut them short), or None if nothing comes out."""
+    parts, size = [], 0
     try:
-        if data[:2] == b"\x1f\x8b":
-            stream = gzip.GzipFile(fileobj=io.BytesIO(data))
-        elif data[:3] == b"BZh":
-            stream = bz2.BZ2File(io.BytesIO(data))
-        elif data[:6] == b"\xfd7zXZ\x00":
-            stream = lzma.LZMAFile(io.BytesIO(data))
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            stream = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data))
-        elif len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            got = (d := zlib.decompressobj()).decompress(data, room)
-            return (got, bool(d.unconsumed_tail)) if d.eof or got else None
-        else:
-            return None
-        parts, size = [], 0
-        try:
-            while size <= room and (part := stream.read1(min(1 << 20, room + 1 - size))):
-                parts.append(part)
-                size += len(part)
-        except Exception:  # noqa: BLE001  cut short, or other characters follow: what came before stays
-            if not parts:
+        for part in _pieces(data):
+            parts.append(part)
+            size += len(part)
+            if size > room:
+                break
+    except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
+        pass  # looks like a stream but is none, is cut short, or other characters follow: what came before stays
+    got = b"".join(parts)
+    return (got[:room], size > room) if got else None
+
+
+class _Work:
+    """What the layers of one text share: the guard against bombs, what streams inflated to, and the spans of those cut short."""
+
+    def __init__(self) -> None:
+        self.room, self.known, self.cut = MAX_INFLATED, {}, set()
+
+    def opened(self, data: bytes, span: tuple[int, int]) -> str | None:
+        """The text in ``data``, through any number of compressions."""
+        met = set()
+        while (plain := _plain(data)) is None:
+            key = hashlib.blake2b(data, digest_size=16).digest()
+            if key in met or not _compressed(data):
                 return None
-        got = b"".join(parts)
-        return got[:room], size > room
-    except Exception:  # noqa: BLE001  looked like it, but is no such stream
-        return None
+            met.add(key)
+            if key not in self.known:
+                self.known[key] = got = _inflate(data, self.room)
+                if got:
+                    self.room = max(1, self.room - len(got[0]))
+            if (got := self.known[key]) is None:
+                return None
+            data, short = got
+            if short:
+                self.cut.add(span)
+        return plain
 
 
 def _plain(data: bytes) -> str | None:
     """Bytes as text, if they are UTF-8 (or UTF-16 with a mark) and mostly printable."""
     try:
         text = data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8")
-    except UnicodeDecodeError:
-        return None
+    except UnicodeDecodeError as error:
+        # a cut stream may end inside a character
+        if error.reason != "unexpected end of data" or error.start < len(data) - 3 or error.start == 0:
+            return None
+        text = data[: error.start].decode("utf-8")
     odd = sum(1 for c in text if not (c.isprintable() or c in "\t\r\n"))
     return text if text and odd * 10 <= len(text) else None
 
@@ -169,35 +247,24 @@ def _restarts(token: str, starts: list[int]) -> list[tuple[int | None, int, byte
             if o % 4 == a:
                 at = (o - a) // 4 * 3
                 head = data[at : at + 6]
-                zlib_head = len(head) > 2 and head[0] & 0x0F == 8 and (head[0] << 8 | head[1]) % 31 == 0
-                if zlib_head or head.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd", b"\xff\xfe", b"\xfe\xff")):
+                if _compressed(head) or head.startswith((b"\xff\xfe", b"\xfe\xff")):
                     out.append((o, o, data[at:], True))
     return out
 
 
-def _glued(layer: _Layer, a: int, b: int, token: str, starts: list[int], whole: bool, room: list[int]) -> list[_Layer]:
+def _glued(layer: _Layer, a: int, b: int, token: str, starts: list[int], whole: bool, work: _Work) -> list[_Layer]:
     """Layers of a token's restarts; they stand for the token from the restart on, or for the ``whole`` of it."""
     out = []
     for _, first, data, stream in _restarts(token, starts):
-        if stream:
-            plain = None
-            while data and (plain := _plain(data)) is None:
-                got = _inflate(data, room[0])
-                data = got and got[0]
-                if got:
-                    room[0] = max(1, room[0] - len(got[0]))
-                    room[1] |= got[1]
-        else:
-            plain = data.decode("utf-8", "replace")
+        begin = 0 if whole else max((o for o in starts if o <= first and (o - first) % 4 == 0), default=first)
+        plain = work.opened(data, layer.span(a + begin, b)) if stream else data.decode("utf-8", "replace")
         if plain:
-            begin = 0 if whole else max((o for o in starts if o <= first and (o - first) % 4 == 0), default=first)
-            s, e = layer.span(a + begin, b)
-            out.append(_Layer(plain, np.full(len(plain), s), np.full(len(plain), e)))
+            out.append(layer.inside(plain, a + begin, b))
     return out
 
 
-def unwrap(layer: _Layer, room: list[int]) -> list[_Layer]:
-    """The layers one step further in: one for URL and Unicode escapes each, one for each base64 token."""
+def unwrap(layer: _Layer, work: _Work) -> list[_Layer]:
+    """The layers one step further in: one for URL and Unicode escapes each, one for each base64 token and percent-encoded stream."""
     text, out = layer.text, []
     if "%" in text:
         parts = []
@@ -206,64 +273,56 @@ def unwrap(layer: _Layer, room: list[int]) -> list[_Layer]:
             at = m.start()
             try:  # escapes of ASCII stand one by one; others as a whole run
                 new = raw.decode("ascii")
-                parts += [(at + 3 * i, at + 3 * i + 3, c, False) for i, c in enumerate(new)]
+                parts += [(at + 3 * i, at + 3 * i + 3, c) for i, c in enumerate(new)]
             except UnicodeDecodeError:
-                parts.append((at, m.end(), raw.decode("utf-8", "replace"), True))
+                parts.append((at, m.end(), raw.decode("utf-8", "replace")))
         if parts:
             out.append(layer.replaced(parts))
+        for m in _PACKED.finditer(text):
+            plain = work.opened(unquote_to_bytes(m[0].replace("+", " ")), layer.span(m.start(), m.end()))
+            if plain:
+                out.append(layer.inside(plain, m.start(), m.end()))
     if "\\" in text or "&#" in text:
         parts = []
         for m in _ESCAPE.finditer(text):
             code = int(m[6]) if m[6] else int(next(g for g in m.groups()[:5] if g), 16)
             if code < 0x110000 and not 0xD800 <= code < 0xE000:
-                parts.append((m.start(), m.end(), chr(code), False))
+                parts.append((m.start(), m.end(), chr(code)))
         if parts:
             out.append(layer.replaced(parts))
     for m in _BASE64.finditer(text):
         data = _unbase64(m[0])
-        while data is not None:
-            plain = _plain(data)
-            if plain is not None:
-                s, e = layer.span(m.start(), m.end())
-                out.append(_Layer(plain, np.full(len(plain), s), np.full(len(plain), e)))
-                break
-            got = _inflate(data, room[0])
-            data = got and got[0]
-            if got:
-                room[0] = max(1, room[0] - len(got[0]))
-                room[1] |= got[1]
-        out += _glued(layer, m.start(), m.end(), m[0], [x.end() for x in _GLUE.finditer(m[0])], False, room)
+        plain = None if data is None else work.opened(data, layer.span(m.start(), m.end()))
+        if plain:
+            out.append(layer.inside(plain, m.start(), m.end()))
+        out += _glued(layer, m.start(), m.end(), m[0], [x.end() for x in _GLUE.finditer(m[0])], False, work)
     for m in _WRAPPED.finditer(text):
         lines = _BREAK.split(m[0])
         token = "".join(lines)
         if len(token) >= 16:
             begins = np.cumsum([0, *map(len, lines[:-1])]).tolist()
             starts = sorted({*begins, *(x.end() for x in _GLUE.finditer(token))})
-            out += _glued(layer, m.start(), m.end(), token, starts, True, room)
+            out += _glued(layer, m.start(), m.end(), token, starts, True, work)
     return out
 
 
-def find_secrets(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], bool]:
-    """(base matches, all matches, whether the inflation guard was met)."""
-    base = scan(text)
-    found, room = set(base), [MAX_INFLATED, 0]
-    work, seen = unwrap(_Layer(text), room), {_key(text)}
-    while work:
-        layer = work.pop()
-        key = _key(layer.text)
+def find_secrets(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], list[tuple[int, int]]]:
+    """(base matches, all matches, spans of tokens that the inflation guard cut short)."""
+    base, whole = scan(text), _Layer(text)
+    found, work = set(base), _Work()
+    todo, seen = unwrap(whole, work), {whole.key()}
+    while todo:
+        layer = todo.pop()
+        key = layer.key()
         if key in seen:
             continue
         seen.add(key)
         for a, kind, b in scan(layer.text):
             s, e = layer.span(a, b)
             found.add((s, kind, e))
-        work += unwrap(layer, room)
+        todo += unwrap(layer, work)
     order = {k: i for i, k in enumerate(KINDS)}
-    return base, sorted(found, key=lambda x: (x[0], order[x[1]], x[2])), bool(room[1])
-
-
-def _key(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return base, sorted(found, key=lambda x: (x[0], order[x[1]], x[2])), sorted(work.cut)
 
 
 def _joined(spans: list[tuple[int, str, int]]) -> str:
@@ -280,7 +339,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for t in texts:
             base, every, cut = find_secrets(t or "")
             kinds = [k for _, k, _ in base]
-            rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), cut))
+            rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), bool(cut)))
         return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "inflate_limit_hit"])
 
     out = docs.select(F.col(id_col).alias("id"), scanned(F.col(text_col).cast("string")).alias("s"))
@@ -288,10 +347,11 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
-    """The text with every secret span, merged where they overlap, replaced by ``mark``."""
+    """The text with every secret span, and every token the guard cut short, merged where they overlap, replaced by ``mark``."""
     if not text:
         return text
-    spans = sorted((s, e) for s, _, e in find_secrets(text)[1])
+    _, every, unread = find_secrets(text)
+    spans = sorted([(s, e) for s, _, e in every] + unread)
     out, at = [], 0
     for s, e in spans:
         if e <= at:
