@@ -9,13 +9,15 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java and Python regular expression of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Side tables of at most this many ids (8 bytes each) may be broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of whole texts that a training sample brings to the driver at most (beyond one text a label).
+SAMPLE_BYTES = 64 << 20
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -99,16 +101,18 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def sampled_ids(labelled: DataFrame, id_col: str, label_col: str, per_label: int) -> list[tuple]:
     """For each label the ``per_label`` ids of the smallest hash: a sample that is bounded, and the same in every run.
 
-    ``labelled`` has one slim row per id. Sorting by a hash and keeping a fixed number is a top-k, so no
-    executor gathers a whole label.
+    ``labelled`` has one slim row per id, and may have any number of labels. Counts (combined map-side) say below which hash
+    about twice as many ids of a label stand as are wanted, so only those are sorted and no task gathers a whole label.
     """
-    labels = [r[0] for r in labelled.select(label_col).where(F.col(label_col).isNotNull()).distinct().orderBy(label_col).limit(256).collect()]
-    out: list[tuple] = []
-    for label in labels:
-        part = labelled.where(F.col(label_col) == F.lit(label)).where(F.col(id_col).isNotNull())
-        top = part.select(id_col).orderBy(F.xxhash64(F.col(id_col), F.lit(7)), id_col).limit(per_label)
-        out += [(r[0], label) for r in top.collect()]
-    return out
+    known = labelled.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__l")).where("__id IS NOT NULL AND __l IS NOT NULL")
+    counts = known.groupBy("__l").agg(F.count(F.lit(1)).alias("__n"))
+    part = F.least(F.lit(1.0), F.lit(2.0 * per_label + 200) / F.col("__n"))
+    counts = counts.select(F.col("__l").alias("__k"), part.alias("__part"))
+    hashed = known.withColumn("__h", F.xxhash64("__id", F.lit(7)))
+    low = hashed.join(F.broadcast(counts), F.col("__l") == F.col("__k")).where(F.col("__h") / F.lit(2.0**64) + 0.5 <= F.col("__part"))
+    first = Window.partitionBy("__l").orderBy("__h", "__id")
+    rows = low.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= per_label)
+    return [(r[0], r[1]) for r in sorted(rows.select("__id", "__l", "__r").collect(), key=lambda r: (r[1], r[2]))]
 
 
 def sampled_rows(docs: DataFrame, sample: list[tuple], id_col: str) -> DataFrame:
@@ -119,5 +123,32 @@ def sampled_rows(docs: DataFrame, sample: list[tuple], id_col: str) -> DataFrame
     return docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).drop("__id")
 
 
+def sampled_texts(docs: DataFrame, sample: list[tuple], id_col: str, text_col: str, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, object, str]]:
+    """(label, id, text) of the sampled rows with a text, texts whole, in an order of their own.
+
+    Labels share ``most_bytes`` equally; where a label's texts are longer together, the first in the sample's order are
+    taken, one at least.
+    """
+    text = F.col(text_col).cast("string").alias("__t")
+    rows = stage(sampled_rows(docs.select(id_col, text), sample, id_col).where("__t IS NOT NULL"), "sample")
+    size: dict[tuple, int] = {}
+    for label, i, n in rows.select("__label", id_col, F.octet_length("__t")).collect():
+        size[label, i] = size.get((label, i), 0) + n
+    share = most_bytes // max(1, len({label for _, label in sample}))
+    left, chosen = {}, []
+    for i, label in sample:
+        if (label, i) in size:
+            room = left.get(label)
+            if room is None or room >= size[label, i]:
+                left[label] = (share if room is None else room) - size[label, i]
+                chosen.append((i, label))
+            else:
+                left[label] = -1  # the first that does not fit ends it, so lengths do not choose
+    if len(chosen) < len(size):
+        rows = sampled_rows(rows.drop("__label"), chosen, id_col)
+    got = [(r["__label"], r[id_col], r["__t"]) for r in rows.collect()]
+    return sorted(got, key=lambda r: (r[1], r[0], r[2]))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

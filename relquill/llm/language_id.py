@@ -6,8 +6,8 @@ from labelled texts, and Viterbi decoding with a penalty for switching labels th
 in one language are spans. The text's language is the one with the most letters in its words.
 
 Texts are decoded a batch at a time, in step: at word t all texts that are that long move on together.
-Training is bounded: ``PER_LANG`` documents of each language, chosen by a hash. Scoring is one pass without
-shuffle. Edge cases: a null text, or one without a letter, is ``und`` with score 0; a word in a script that no
+Training is bounded: ``PER_LANG`` documents of each language, chosen by a hash, up to ``SAMPLE_BYTES`` in all; there may
+be any number of languages. Scoring is one pass without shuffle; a text takes about 5 bytes a word and language. Edge cases: a null text, or one without a letter, is ``und`` with score 0; a word in a script that no
 language was seen in keeps the languages of its neighbours; extra columns are ignored.
 """
 
@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relquill.llm import _bytes
-from relquill.llm._shared import crc_mod, prepare, read_table, sampled_ids, sampled_rows
+from relquill.llm._shared import crc_mod, prepare, read_table, sampled_ids, sampled_texts
 
 BITS = 16
 PER_LANG = 1200
 SWITCH = 12.0
 UNKNOWN = "und"
+#: Scores of letters held at once, and words' scores of a run of short texts.
+CELLS = 1 << 23
 
 #: First code points of ranges, and the script each range is in; letters outside Latin that share no language group as "other".
 _RANGES = [
@@ -115,7 +117,13 @@ class Model:
         if not len(w.start):
             return np.zeros((0, len(self.langs)), np.float32)
         first = np.concatenate([[0], np.cumsum(w.n_letters)[:-1]])
-        total = np.add.reduceat(self.table[w.gram], first, axis=0)
+        total = np.empty((len(w.start), len(self.langs)), np.float32)
+        ends = np.append(first[1:], len(w.gram))
+        lo, most = 0, max(1, CELLS // max(1, len(self.langs)))
+        while lo < len(first):  # letters x languages are held in bounded slices
+            hi = max(lo + 1, int(np.searchsorted(ends, first[lo] + most, "right")))
+            total[lo:hi] = np.add.reduceat(self.table[w.gram[first[lo] : ends[hi - 1]]], first[lo:hi] - first[lo], axis=0)
+            lo = hi
         ok = self.allowed[w.script]
         ok = ok | ~ok.any(axis=1, keepdims=True)
         total = np.where(self.allowed.any(axis=0) & ~self.allowed[w.script].any(axis=1, keepdims=True), 0, total)
@@ -154,7 +162,7 @@ class Model:
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
         """(language, share of letters in it) of each text."""
         names, shares = [], []
-        for part in _runs(texts):
+        for part in _runs(texts, max(1 << 12, CELLS // max(4, len(self.langs)))):
             w = words_of(part)
             size = np.zeros((len(part), max(1, len(self.langs))))
             if self.langs:
@@ -179,11 +187,14 @@ class Model:
 
 def fit(rows: list[tuple[str, str]]) -> Model:
     """Learns from (language, text)."""
-    langs = sorted({lang for lang, _ in rows})
+    texts: dict[str, list[str]] = {}
+    for lang, t in rows:
+        texts.setdefault(lang, []).append(t)
+    langs = sorted(texts)
     counts = np.zeros((1 << BITS, len(langs)))
     scripts = np.zeros((len(SCRIPTS), len(langs)))
     for j, lang in enumerate(langs):
-        own = [t for x, t in rows if x == lang]
+        own = texts[lang]
         for part in _runs(own):
             w = words_of(part)
             counts[:, j] += np.bincount(w.gram, minlength=1 << BITS)
@@ -202,8 +213,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not langs:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
     numbered = [(i, langs.index(x)) for i, x in sample]
-    got = sampled_rows(docs.select(id_col, F.col(text_col).cast("string").alias("__t")), numbered, id_col).where("__t IS NOT NULL")
-    return fit(sorted((langs[r["__label"]], r["__t"]) for r in got.select("__label", "__t").collect()))
+    return fit(sorted((langs[label], t) for label, _, t in sampled_texts(docs, numbered, id_col, text_col)))
 
 
 def languages(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

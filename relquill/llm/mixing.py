@@ -5,7 +5,8 @@ van der Corput point of i (its bits mirrored), which falls into one source's int
 weights; slots are ranked within their source, and the slot of rank r carries the r-th block of the
 source's line, lap after lap. A source gets its target to one word, however large the mix and however small the
 source: slots give the order only. A source's words are cut into as many equal blocks (to one word) as it has slots,
-so any run of slots is close to the target weights. A source whose interval holds no point goes, whole, with the
+so any run of slots is close to the target weights. The slots are as many as keep a slot to about ``SLOT_WORDS`` words
+(2**18 at least, or one a word): they grow with the mix. A source whose interval holds no point goes, whole, with the
 slot whose point is the last before it.
 
 Running sums (places on the line, ranks of slots) are two-level: within buckets of about the square root of
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from relquill.llm._shared import BROADCAST_IDS, WORD, read_table, stage
 
-SLOT_BITS = 18
-CELLS = 1024
+#: Slots are 2**SLOT_BITS at least (but one a word at most), and as many as keep a slot to SLOT_WORDS words.
+SLOT_BITS, SLOT_WORDS = 18, 1024
 MOST = 3  # times a source's own words that the mix may take
 
 
@@ -72,34 +73,43 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return s.select("key", "docs", "source_size", "total", "target", "lo", "hi")
 
 
-def schedule(spark: SparkSession, targets: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
+def slot_exponent(total: int, slot_bits: int | None = None) -> int:
+    """k of the 2**k slots of a mix of ``total`` words; ``slot_bits`` sets it, but for mixes of fewer words."""
+    if slot_bits is None:
+        slot_bits = max(SLOT_BITS, (total // SLOT_WORDS).bit_length())
+    return min(max(total, 1).bit_length() - 1, slot_bits)
+
+
+def schedule(spark: SparkSession, targets: DataFrame, slot_bits: int | None = None) -> DataFrame:
     """(key, rank, slot): which block of which source each slot of the mix carries.
 
-    There are 2**k slots, k at most ``slot_bits`` and such that a slot holds a word at least. A source between two
-    points shares the slot of the one before it, so every source with a target has a slot.
+    A source between two points shares the slot of the one before it, so every source with a target has a slot.
     """
-    k = F.least(F.lit(slot_bits), F.floor(F.log2(F.greatest(F.col("total").cast("double"), F.lit(1.0))))).cast("int")
-    grid = targets.withColumn("k", k).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
-    grid = grid.where("hi > lo").select("key", "lo", "hi", "k", "cell")
-    # slot i of 2**slot_bits, mirrored; with fewer slots, those below 2**k, whose points are the same
-    points = spark.range(1 << slot_bits).select(
+    total, sources = targets.agg(F.max("total"), F.count(F.lit(1))).first()
+    k = slot_exponent(int(total or 0), slot_bits)
+    # so many cells that one holds few sources and few points
+    cells = 1 << max(10, k - 12, sources.bit_length())
+    grid = targets.where("hi > lo").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))
+    grid = grid.select("key", "lo", "hi", "cell")
+    # slot i, its k bits mirrored
+    points = spark.range(1 << k).select(
         F.col("id").alias("slot"),
-        (F.conv(F.reverse(F.lpad(F.bin("id"), slot_bits, "0")), 2, 10).cast("long") / F.lit(float(1 << slot_bits))).alias("u"),
+        (F.conv(F.reverse(F.lpad(F.bin("id"), max(k, 1), "0")), 2, 10).cast("long") / F.lit(float(1 << k))).alias("u"),
     )
-    points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
-    slots = points.join(grid, "cell").where("u >= lo AND u < hi AND slot < cast(pow(2, k) AS long)").select("key", "slot")
+    points = points.withColumn("cell", F.floor(F.col("u") * cells))
+    slots = points.join(grid, "cell").where("u >= lo AND u < hi").select("key", "slot")
     slots = slots.withColumn("bucket", F.col("slot").bitwiseAND(F.lit(511))).withColumn("one", F.lit(1))
     # a slot's bucket is its remainder, so ranks follow the buckets first; any fixed order will do
     ranked = running_sum(slots, ["key"], "bucket", [F.col("slot")], "one", "rank").select("key", "rank", "slot")
-    n = F.pow(F.lit(2.0), F.col("k"))  # a power of two: lo * n and hi * n are exact
-    between = targets.withColumn("k", k).where("hi > lo").where(F.ceil(F.col("lo") * n) == F.ceil(F.col("hi") * n))
-    mirrored = F.conv(F.reverse(F.lpad(F.bin(F.floor(F.col("lo") * n)), F.col("k"), "0")), 2, 10).cast("long")
+    n = F.lit(float(1 << k))  # a power of two: lo * n and hi * n are exact
+    between = targets.where("hi > lo").where(F.ceil(F.col("lo") * n) == F.ceil(F.col("hi") * n))
+    mirrored = F.conv(F.reverse(F.lpad(F.bin(F.floor(F.col("lo") * n)), max(k, 1), "0")), 2, 10).cast("long")
     return ranked.unionByName(between.select("key", F.lit(0).cast("long").alias("rank"), F.coalesce(mirrored, F.lit(0)).cast("long").alias("slot")))
 
 
 def lines_taken(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, extra: tuple[str, ...] = (), slot_bits: int = SLOT_BITS,
+    weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, extra: tuple[str, ...] = (), slot_bits: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The sources' lines (id, key, size, source_size, target, at, words, n_slots, taken) and the schedule's slots."""
     spark = docs.sparkSession
@@ -136,7 +146,7 @@ def lines_taken(
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, extra: tuple[str, ...] = (), slot_bits: int = SLOT_BITS,
+    weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, extra: tuple[str, ...] = (), slot_bits: int | None = None,
 ) -> DataFrame:
     """Per document: id, size, source_size, target, taken, and the first slot that carries it (null: none).
 
@@ -157,17 +167,34 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them: whole copies, and where a block's edge cuts one, its first words."""
+    """The documents as often as the mix takes them, in the order of the schedule's slots: whole copies, and where the target's
+    end cuts one, its first words.
+
+    The mix is planned on slim rows; texts are moved twice, to their places in the plan and into order. A copy goes to the slot of
+    the block that its first word is in. Null texts and texts without a word are not taken; an empty table gives an empty mix.
+    """
     cols = docs.columns
-    packed = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in cols]))
-    got, _ = lines_taken(packed, extra=("__row",))  # which slot comes first is of no use here: texts are moved once
+    own = "row_of_mix"
+    while own in cols:
+        own += "_"
+    numbered = stage(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    line, slots = lines_taken(numbered, extra=(own,))
     whole, part = F.expr("taken div size").cast("int"), F.expr("taken % size")
-    got = got.where("taken > 0").withColumn("__part", part)
-    got = got.withColumn("__copy", F.explode(F.sequence(F.lit(1), whole + F.when(F.col("__part") > 0, 1).otherwise(0)))).withColumn("__whole", whole)
-    cut = (F.col("__copy") > F.col("__whole")) & (F.col("__part") > 0)
-    out = got.select("__part", cut.alias("__cut"), "__row.*")
-    pieces = out.withColumn("text", F.when(F.col("__cut"), _prefix(F.col("text"), F.col("__part"))).otherwise(F.col("text")))
-    return pieces.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long"))).select(cols)
+    line = line.where("taken > 0").withColumn("whole", whole).withColumn("part", part)
+    line = line.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("whole") - F.when(F.col("part") > 0, 0).otherwise(1))))
+    line = line.withColumn("place", F.col("copy") * F.col("source_size") + F.col("at"))
+    line = line.withColumn("rank", F.expr("least((place * n_slots) div greatest(words, 1), n_slots - 1)"))
+    line = line.withColumn("part", F.when(F.col("copy") == F.col("whole"), F.col("part")))
+    slots = slots.select(F.col("key").alias("sk"), F.col("rank").alias("sr"), "slot")
+    few = slots.count() <= BROADCAST_IDS
+    plan = line.join(F.broadcast(slots) if few else slots, (F.col("key") == F.col("sk")) & (F.col("rank") == F.col("sr")), "left")
+    plan = plan.select(F.col(own).alias("at_row"), F.struct("slot", "place", "key").alias("at_slot"), "part")
+    row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
+    out = numbered.select(F.col(own).alias("at_row"), row).join(plan, "at_row")
+    out = out.repartitionByRange("at_slot").sortWithinPartitions("at_slot")
+    text = F.when(F.col("part").isNotNull(), _prefix(F.col("row.text"), F.col("part"))).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in cols])
 
 
 def _prefix(text: Column, n: Column) -> Column:

@@ -5,9 +5,9 @@ word has just been repeated (equality at a varying distance is out of reach of a
 read by learned filters over chunks of ``WIDTH`` bytes that start every ``STRIDE`` bytes and so overlap. The
 filters' responses are max-pooled over the whole text and a dense layer combines them into one probability.
 
-Training is bounded: ``PER_LABEL`` labelled documents of each label, chosen by a hash, of which those of more
-than ``TRAIN_BYTES`` bytes are left out (scoring has no such limit). Scoring is one pass without shuffle, in
-runs of bounded size. Edge cases: null and empty texts pool to zeros and score by the dense layer's bias;
+Training is bounded: ``PER_LABEL`` labelled documents of each label, chosen by a hash, whole texts of any length, up to
+``SAMPLE_BYTES`` in all. Scoring is one pass without shuffle, in
+runs of bounded size; no chunk reaches into another text, so a score depends on its text alone. Edge cases: null and empty texts pool to zeros and score by the dense layer's bias;
 with one label only, that label's probability is the score; extra columns are ignored.
 """
 
@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relquill.llm import _bytes
-from relquill.llm._shared import crc_mod, prepare, read_table, sampled_ids, sampled_rows
+from relquill.llm._shared import crc_mod, prepare, read_table, sampled_ids, sampled_texts
 
 DIMS, WIDTH, STRIDE, FILTERS = 5, 12, 4, 24
-PER_LABEL, TRAIN_BYTES, EPOCHS = 1200, 12_000, 10
+PER_LABEL, EPOCHS = 1200, 10
 #: Bytes whose windows are held at once.
 RUN = 1 << 17
 
@@ -57,8 +57,8 @@ class Network:
     dense: np.ndarray
     bias: float
 
-    def planes(self, buf: np.ndarray, rep: np.ndarray) -> np.ndarray:
-        x = np.empty((len(buf), DIMS + 1), np.float32)
+    def planes(self, buf: np.ndarray, rep: np.ndarray, kind=np.float32) -> np.ndarray:
+        x = np.empty((len(buf), DIMS + 1), kind)
         x[:, :DIMS] = self.embed[buf]
         x[:, DIMS] = rep
         return x
@@ -72,18 +72,20 @@ class Network:
 
     def pooled(self, parts: list[bytes]) -> np.ndarray:
         """Max-pooled responses, a row for each text."""
-        out = np.zeros((len(parts), FILTERS), np.float32)
+        out = np.zeros((len(parts), FILTERS))
+        filters = self.filters.astype(np.float64)  # sums in single precision would depend on the batch
         # texts start on the filters' grid, apart by a chunk's width, so that no chunk sees two of them
         parts = [p + b" " * (WIDTH + -(len(p) + 1) % STRIDE) for p in parts]
-        starts = np.cumsum([0] + [len(p) + 1 for p in parts])[:-1]
+        starts = np.cumsum([0] + [len(p) + 1 for p in parts])
         rep = repeats(parts)
         buf = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
         rep = np.append(rep, np.float32(0))
         for lo in range(0, len(buf), RUN):
             hi = min(len(buf), lo + RUN + WIDTH - STRIDE)
-            y = self.windows(self.planes(buf[lo:hi], rep[lo:hi])) @ self.filters
+            y = self.windows(self.planes(buf[lo:hi], rep[lo:hi], np.float64)) @ filters
             at = lo + STRIDE * np.arange(len(y))
             who = np.searchsorted(starts, at, "right") - 1
+            y[at + WIDTH > starts[who + 1]] = -np.inf  # begins in the padding and would reach into the next text
             cut = np.flatnonzero(np.diff(who, prepend=-1))
             if len(cut):
                 best = np.maximum.reduceat(y, cut) + self.shift
@@ -95,7 +97,8 @@ class Network:
         for first, parts in _bytes.runs(texts, RUN):
             z = self.pooled(parts) @ self.dense + self.bias
             out[first : first + len(parts)] = np.where([len(p) == 0 for p in parts], self.bias, z)
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        # the last bits may still differ with the batch; rounding takes them off
+        return np.round(1 / (1 + np.exp(-np.clip(out, -30, 30))), 6)
 
 
 def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Network:
@@ -155,9 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = sampled_ids(known, id_col, "__l", PER_LABEL)
     rows = []
     if sample:
-        text = F.col(text_col).cast("string")
-        got = sampled_rows(docs.select(id_col, text.alias("__t")), sample, id_col).where(F.octet_length("__t") <= TRAIN_BYTES)
-        rows = sorted(((r["__label"], r[id_col], r["__t"].encode()) for r in got.collect()), key=lambda r: (r[1], r[0], r[2]))
+        rows = [(label, i, t.encode()) for label, i, t in sampled_texts(docs, sample, id_col, text_col)]
     y = np.array([r[0] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         flat = Network(np.zeros((256, DIMS), np.float32), np.zeros((WIDTH * (DIMS + 1), FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float32), 0.0)

@@ -68,6 +68,26 @@ def test_schedule_is_even_in_every_run_of_slots(spark):
         assert all(abs(part[k] - 128 * w / 6) <= 4 for k, w in zip(("0a", "0b", "0c"), (1, 2, 3), strict=True))
 
 
+def test_slots_grow_with_the_mix():
+    assert [mixing.slot_exponent(n) for n in (0, 1, 5, 10**6, 10**9, 10**12, 10**14)] == [0, 0, 2, 18, 20, 30, 37]
+
+
+def test_many_sources(spark):
+    n = 300_000
+    sizes = spark.range(n).selectExpr("concat('0', lpad(id, 6, '0')) AS key", "1L AS docs", "1 + id % 5 AS source_size")
+    want = mixing.source_targets(sizes)
+    assert want.where("target <= 0").isEmpty()
+    assert mixing.schedule(spark, want).select("key").distinct().count() == n
+
+
+def test_stage_is_in_slot_order(spark, sf_dir):
+    rows = [(i, "w " * 50, "abc"[i % 3]) for i in range(300)]
+    out = [r["source"] for r in mixing.mix_stage(spark, documents(spark, rows), sf_dir).collect()]
+    for lo in range(0, len(out) - 60, 60):  # any run of the mix is near the weights 1, 2, 3
+        part = Counter(out[lo : lo + 60])
+        assert all(abs(part[k] - 60 * w / 6) <= 6 for k, w in zip("abc", (1, 2, 3), strict=True)), part
+
+
 def test_stage_repeats_and_cuts(spark, sf_dir):
     rows = [(i, "w " * (1 + i % 7), "big") for i in range(60)] + [(100, "a b  c", "tiny")]
     docs = documents(spark, rows)

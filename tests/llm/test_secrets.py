@@ -5,11 +5,18 @@ import re
 import urllib.parse
 import zlib
 
+import pytest
 from helpers import ODD, documents
 
 from relquill.llm import secret_scan as S
 from relquill.llm._shared import read_table
 
+@pytest.fixture(autouse=True)
+def small_guard(monkeypatch):
+    """The guard's own size takes a minute to fill."""
+    monkeypatch.setattr(S, "MAX_INFLATED", 2 << 20)
+
+
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
@@ -90,3 +97,27 @@ def test_wrapped_and_glued_base64():
         for glue in ("path/", "some-", "a_", "/ab/c/"):
             spans = [(s, e) for s, k, e in S.find_secrets(f"at {glue}{token} end")[1] if k == "assign"]
             assert any(3 <= s <= 3 + len(glue) and e == 3 + len(glue) + len(token) for s, e in spans), glue
+
+
+def test_same_layer_in_two_places():
+    token = base64.b64encode(b"password = correct-horse-battery").decode()
+    text = f"one {token} two {token} three {urllib.parse.quote(token, safe='')}%20 end"
+    found = [(s, e) for s, k, e in S.find_secrets(text)[1] if k == "assign"]
+    at = text.index(token)
+    assert {(at, at + len(token)), (text.index(token, at + 1), text.index(token, at + 1) + len(token))} <= set(found)
+    assert "cGFzc3" not in S.redacted(text)
+
+
+def test_percent_encoded_and_damaged_streams():
+    plain = "".join(f"word{i} " for i in range(2000)) + "password = correct-horse-battery " + "".join(f"more{i * 7} " for i in range(2000))
+    for pack in (gzip.compress, zlib.compress):
+        data = pack(plain.encode())
+        for quote in (urllib.parse.quote, urllib.parse.quote_plus):
+            assert S.redacted(f"x {quote(data)} y") == "x [SECRET] y"
+        cut = base64.b64encode(data[: len(data) * 9 // 10]).decode()
+        assert S.redacted(f"x {cut} y") == "x [SECRET] y"
+
+
+def test_guard_takes_the_whole_token():
+    bomb = base64.b64encode(gzip.compress(b"a b " * (S.MAX_INFLATED // 4 + 10) + b"password = correct-horse-battery")).decode()
+    assert S.redacted(f"x {bomb} y") == "x [SECRET] y"
