@@ -60,9 +60,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     every = Window.partitionBy(F.lit(0))
     fill = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("w"), "key")
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    onward = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     s = s.withColumn("total", F.sum("source_size").over(every))
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(onward)
+    level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     s = s.withColumn("level", level).withColumn("fits", F.col("cap") >= F.col("level") * F.col("w"))
     s = s.withColumn("free", F.max(F.when(F.col("fits"), F.col("level"))).over(every))
     s = s.withColumn("target", F.when(F.col("free").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("free") * F.col("w"))))
