@@ -128,7 +128,7 @@ def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT event_id, hour(ts)::INTEGER AS h, minute(ts)::INTEGER AS mi, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::BIGINT AS sm, epoch_ms(ts) AS ums, (epoch_us(ts) // 1000000)::BIGINT AS ut, (epoch_us(ts) % 1000000)::BIGINT AS micros,
+@query("""SELECT event_id, hour(ts)::INTEGER AS h, minute(ts)::INTEGER AS mi, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::BIGINT AS sm, (epoch_us(ts) // 1000)::BIGINT AS ums, (epoch_us(ts) // 1000000)::BIGINT AS ut, (epoch_us(ts) % 1000000)::BIGINT AS micros,
     date_trunc('hour', ts) AS th, CASE WHEN minute(ts) >= 30 THEN date_trunc('hour', ts) + INTERVAL 1 HOUR ELSE date_trunc('hour', ts) END AS rh,
     ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 60000000)::BIGINT AS diff_min, ((datediff('day', DATE '2024-01-01', ts::DATE) + 6) // 7)::BIGINT AS diff_wk,
     (datediff('month', DATE '2023-11-15', ts::DATE))::BIGINT AS diff_mo, ts + INTERVAL 90 SECOND AS plus FROM events""")

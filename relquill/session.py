@@ -38,6 +38,8 @@ class ForeignKey:
     parent: str
     target: list[str]
     on_delete: str = "NO ACTION"
+    on_update: str = "NO ACTION"
+    name: str | None = None
 
 
 @dataclass
@@ -51,6 +53,7 @@ class TableDef:
     data: DataFrame | None = None
     period: tuple[str, str] | None = None  # columns of SYSTEM_TIME
     versioned: bool = False
+    named: dict[str, tuple[str, list[str]]] = field(default_factory=dict)  # constraints of keys: PRIMARY or UNIQUE, and the columns
 
     @property
     def names(self) -> list[str]:
@@ -79,6 +82,8 @@ class Engine:
         self.sequences: dict[str, dml.Sequence] = {}
         self.triggers: dict[str, Trigger] = {}
         self.last_identity: int | None = None
+        self.domains: dict[str, list[Tok]] = {}
+        self.comments: dict[tuple[str, str], str] = {}
         self._saved: list[tuple[str | None, dict[str, TableDef]]] = []
 
     # --- entry
@@ -91,7 +96,7 @@ class Engine:
         words = [t.up for t in items[:6]]
         for names, run in self._statements().items():
             if tuple(words[: len(names)]) == names:
-                return run(items)
+                return self._whole(run, items) if names[0] in ("INSERT", "UPDATE", "DELETE", "MERGE", "REPLACE", "TRUNCATE") else run(items)
         if words[0] in ("SELECT", "WITH", "VALUES", "TABLE") or items[0].kind == "g":
             return self.query(items, args)
         raise ValueError(f"42581 unexpected token: {items[0].text}")
@@ -117,7 +122,18 @@ class Engine:
     # --- transactions: versions are immutable, so a savepoint is a set of references
 
     def _snapshot(self) -> dict[str, TableDef]:
-        return {n: replace(t, columns=[replace(c) for c in t.columns], unique=list(t.unique), checks=dict(t.checks), foreign=list(t.foreign)) for n, t in self.tables.items()}
+        return {n: replace(t, columns=[replace(c) for c in t.columns], unique=list(t.unique), checks=dict(t.checks), foreign=list(t.foreign), named=dict(t.named)) for n, t in self.tables.items()}
+
+    def _whole(self, run, items: list[Tok]) -> int:
+        """A change as a whole: where it fails, every table is as it was."""
+        saved = self._snapshot()
+        try:
+            return run(items)
+        except Exception:
+            self.tables = saved
+            for t in saved.values():
+                self._show(t)
+            raise
 
     def _begin(self, items: list[Tok]) -> int:
         self._saved = [(None, self._snapshot())]
@@ -198,6 +214,11 @@ class Engine:
                         new = new.alias(g.new).withColumn(c.name, F.expr(self.expression(cell[eq + 1 :])).cast(c.kind))
                 elif part[0].up == "INSERT" and g.each_row and (v := Q._find(part, "VALUES")) > 0:
                     rows = " CROSS JOIN ".join(n for n, d in ((g.new, new), (g.old, old)) if n and d is not None)
+                    if g.new and g.old and new is not None and old is not None:  # a row's versions meet by its number
+                        pairs = new.select(*[F.col(c).alias(f"rq_new_{c}") for c in t.names], RID).join(old.select(*[F.col(c).alias(f"rq_old_{c}") for c in t.names], RID), RID)
+                        pairs = pairs.select(F.struct(*[F.col(f"rq_new_{c}").alias(c) for c in t.names]).alias(g.new), F.struct(*[F.col(f"rq_old_{c}").alias(c) for c in t.names]).alias(g.old))
+                        pairs.createOrReplaceTempView("rq_pairs")
+                        rows = "rq_pairs"
                     self.sql(f"{Q.render(part[:v])} SELECT {Q.render(part[v + 1].items)} FROM {rows}")
                 elif part[0].up == "SIGNAL":
                     if (new if new is not None else old) is not None and not (new if new is not None else old).isEmpty():
@@ -210,8 +231,8 @@ class Engine:
         nothing = lambda _: 0
         return {
             ("INSERT", "INTO"): self._insert, ("UPDATE",): self._update, ("DELETE", "FROM"): self._delete, ("TRUNCATE", "TABLE"): self._truncate, ("MERGE", "INTO"): self._merge,
-            ("REPLACE", "INTO"): self._insert, ("CREATE", "VIEW"): self._view, ("CREATE", "OR", "REPLACE", "VIEW"): self._view, ("CREATE", "SEQUENCE"): self._sequence, ("CREATE", "FUNCTION"): self._function,
-            ("CREATE", "INDEX"): nothing, ("CREATE", "UNIQUE", "INDEX"): nothing, ("COMMENT",): nothing, ("SET", "TABLE"): self._source, ("SET",): nothing, ("START", "TRANSACTION"): self._begin, ("SAVEPOINT",): self._savepoint,
+            ("REPLACE", "INTO"): self._insert, ("INSERT", "IGNORE", "INTO"): self._insert, ("CREATE", "VIEW"): self._view, ("CREATE", "OR", "REPLACE", "VIEW"): self._view, ("CREATE", "SEQUENCE"): self._sequence, ("CREATE", "FUNCTION"): self._function,
+            ("CREATE", "INDEX"): nothing, ("CREATE", "UNIQUE", "INDEX"): nothing, ("COMMENT", "ON"): self._comment, ("SET", "TABLE"): self._source, ("SET",): self._setting, ("START", "TRANSACTION"): self._begin, ("SAVEPOINT",): self._savepoint,
             ("RELEASE", "SAVEPOINT"): nothing, ("COMMIT",): self._commit, ("ROLLBACK",): self._rollback, ("CREATE", "TRIGGER"): self._trigger, ("BEGIN",): self._block, ("CREATE",): self._create, ("DROP",): self._drop, ("ALTER", "TABLE"): self._alter, ("EXPLAIN", "PLAN", "FOR"): self._explain, ("CALL",): self._call,
             ("PERFORM", "EXPORT", "DATA"): self._export, ("PERFORM", "IMPORT", "DATA"): self._import, ("PERFORM", "IMPORT", "SCRIPT"): self._import_script, ("SCRIPT",): lambda _: self.dump(),
         }
@@ -361,7 +382,7 @@ class Engine:
     def _create(self, items: list[Tok]) -> int:
         at = Q._find(items, "TABLE")
         if at < 0:
-            return 0  # schemas, users, roles and the like have no meaning here
+            return self._other(items)
         at += 1
         if [t.up for t in items[at : at + 3]] == ["IF", "NOT", "EXISTS"]:
             at += 3
@@ -392,6 +413,35 @@ class Engine:
         self._store(t, self.spark.createDataFrame([], ", ".join(f"`{c.name}` {c.kind}" for c in t.columns)))
         return 0
 
+    def _other(self, items: list[Tok]) -> int:
+        """CREATE DOMAIN, TYPE, SYNONYM and SCHEMA; what has no meaning here is refused."""
+        word = items[1].up
+        if word in ("DOMAIN", "TYPE"):
+            name, at = self._name(items, 2)
+            self.domains[name] = items[at + (items[at].up == "AS") :]
+        elif word == "SYNONYM":
+            name, at = self._name(items, 2)
+            self.spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{name}` AS SELECT * FROM `{self._name(items, at + 1)[0]}`")
+        elif word != "SCHEMA":  # names of schemas are read over
+            raise ValueError(f"0A000 feature not supported: CREATE {word}")
+        return 0
+
+    def _setting(self, items: list[Tok]) -> int:
+        """SET SCHEMA is read over, SET TIME ZONE sets the session's; other settings are refused."""
+        words = [t.up for t in items[1:3]]
+        if words == ["TIME", "ZONE"]:
+            zone = items[-1]
+            self.spark.conf.set("spark.sql.session.timeZone", "UTC" if zone.up == "LOCAL" else zone.text.strip("'"))
+        elif words[:1] != ["SCHEMA"]:
+            raise ValueError(f"0A000 feature not supported: SET {' '.join(words)}")
+        return 0
+
+    def _comment(self, items: list[Tok]) -> int:
+        """COMMENT ON {TABLE | COLUMN | ..} name IS 'text'"""
+        at = Q._find(items, "IS")
+        self.comments[items[2].up, "".join(t.text for t in items[3:at]).lower()] = items[at + 1].text[1:-1].replace("''", "'")
+        return 0
+
     def _create_as(self, t: TableDef, items: list[Tok], names: list[str] | None) -> int:
         with_data = Q._find(items, "NO", "DATA") < 0
         end = Q._find(items, "WITH", "DATA")
@@ -419,6 +469,8 @@ class Engine:
             return
         column = part[0].text.strip('"') if part[0].kind == "q" else part[0].text.lower()
         rest = part[1:]
+        if (domain := self.domains.get(rest[0].text.lower())) is not None:
+            rest = [Tok(t.kind, column) if t.up == "VALUE" else t if t.kind != "g" else self._valued(t, column) for t in domain] + rest[1:]
         if rest[0].up in ("IDENTITY",):
             c = ColumnDef(column, "int", identity=dml.Sequence(0), not_null=True)
             i = 1
@@ -446,7 +498,7 @@ class Engine:
             elif up == "REFERENCES":
                 parent, i = self._name(rest, i + 1)
                 target = [Q.render(x).lower() for x in Q.split(rest[i].items)] if i < len(rest) and rest[i].kind == "g" else self.tables[parent].key
-                t.foreign.append(ForeignKey([column], parent, target, self._action(rest[i:])))
+                t.foreign.append(ForeignKey([column], parent, target, self._action(rest[i:]), self._action(rest[i:], "UPDATE"), name))
                 break
             elif up == "GENERATED":
                 where = Q._find(rest, "AS", start=i)
@@ -461,8 +513,12 @@ class Engine:
             else:
                 i += 1
 
-    def _action(self, items: list[Tok]) -> str:
-        at = Q._find(items, "ON", "DELETE")
+    def _valued(self, group: Tok, column: str) -> Tok:
+        """A group of a domain's definition with VALUE replaced by the column."""
+        return replace(group, items=[Tok("w", column) if t.up == "VALUE" and t.kind == "w" else t for t in group.items])
+
+    def _action(self, items: list[Tok], event: str = "DELETE") -> str:
+        at = Q._find(items, "ON", event)
         if at < 0:
             return "NO ACTION"
         words = items[at + 2].up
@@ -472,16 +528,19 @@ class Engine:
         word = part[0].up
         columns = lambda g: [Q.render(x).lower() for x in Q.split(g.items)]
         if word == "PRIMARY":
+            t.named[name or "primary key"] = ("PRIMARY", [])
             t.key = columns(part[2])
         elif word == "UNIQUE":
             t.unique.append(columns(part[1]))
+            if name:
+                t.named[name] = ("UNIQUE", t.unique[-1])
         elif word == "CHECK":
             t.checks[name or f"check {len(t.checks)}"] = self.expression(part[1].items)
         else:
             own = columns(part[2])
             parent, at = self._name(part, 4)
             target = columns(part[at]) if at < len(part) and part[at].kind == "g" else self.tables[parent].key
-            t.foreign.append(ForeignKey(own, parent, target, self._action(part)))
+            t.foreign.append(ForeignKey(own, parent, target, self._action(part), self._action(part, "UPDATE"), name))
 
     def _drop(self, items: list[Tok]) -> int:
         kind = items[1].up
@@ -510,6 +569,21 @@ class Engine:
             self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
         return 0
 
+    def _forget(self, t: TableDef, name: str) -> None:
+        """DROP CONSTRAINT: a check, key, unique or foreign key by its name."""
+        if name in t.checks:
+            del t.checks[name]
+        elif name in t.named:
+            kind, columns = t.named.pop(name)
+            if kind == "PRIMARY":
+                t.key = []
+            else:
+                t.unique.remove(columns)
+        elif any(f.name == name for f in t.foreign):
+            t.foreign = [f for f in t.foreign if f.name != name]
+        else:
+            raise ValueError(f"42501 user lacks privilege or object not found: {name}")
+
     def _alter(self, items: list[Tok]) -> int:
         name, at = self._name(items, 2)
         t = self.tables[name]
@@ -526,7 +600,10 @@ class Engine:
             self._store(t, t.data.withColumn(c.name, value))
         elif words[0] == "DROP":
             if words[1] == "CONSTRAINT":
-                t.checks.pop(rest[2].text.lower(), None)
+                self._forget(t, rest[2].text.lower())
+                return 0
+            if words[1:3] == ["PRIMARY", "KEY"]:
+                t.key = []
                 return 0
             gone = rest[2 if words[1] == "COLUMN" else 1].text.lower()
             t.columns = [c for c in t.columns if c.name != gone]
@@ -657,8 +734,11 @@ class Engine:
         return self.tables[name]
 
     def _insert(self, items: list[Tok]) -> int:
-        name, at = self._name(items, 2)
+        ignore = items[1].up == "IGNORE"
+        name, at = self._name(items, 3 if ignore else 2)
         t = self._table(name)
+        on = Q._find(items, "ON", "DUPLICATE", "KEY", "UPDATE")
+        items, instead = (items[:on], items[on + 4 :]) if on > 0 else (items, None)
         names = [c.name for c in t.columns if not c.generated]
         if at < len(items) and items[at].kind == "g" and not Q._is_query(items[at]):
             names, at = [Q.render(x).strip("`").lower() for x in Q.split(items[at].items)], at + 1
@@ -673,13 +753,14 @@ class Engine:
         elif items[at].up == "VALUES":
             groups = [g.items for g in items[at + 1 :] if g.kind == "g"]
             lines = []
-            for g in groups:
+            for n_line, g in enumerate(groups):
                 values = Q.split(g)
                 if len(values) != len(names):
                     raise ValueError("42546 column count does not match")
                 cells = [(kinds[n].default or "NULL") if Q.render(v).upper() == "DEFAULT" else self.expression(self._with_sequences(v)) for n, v in zip(names, values, strict=True)]
-                lines.append("SELECT " + ", ".join(f"CAST({c} AS {kinds[n].kind}) AS `{n}`" for n, c in zip(names, cells, strict=True)))
-            rows = self.spark.sql(" UNION ALL ".join(lines))
+                lines.append("SELECT " + ", ".join(f"CAST({c} AS {kinds[n].kind}) AS `{n}`" for n, c in zip(names, cells, strict=True)) + f", {n_line} AS rq_line")
+            # identity values go by the order of the lines
+            rows = self.spark.sql(" UNION ALL ".join(lines)).repartition(1).sortWithinPartitions("rq_line").drop("rq_line")
         else:
             rows = self.query(items[at:])
             if len(rows.columns) != len(names):
@@ -714,13 +795,68 @@ class Engine:
         if any(g.table == t.name and g.event == "INSERT" for g in self.triggers.values()):
             rows = stage(self._fire(t, True, "INSERT", rows, None), name)
         old = t.data.drop(RID)
+        n = None
         if items[0].up == "REPLACE" and t.key:
             rows = stage(rows, name)
             old = old.join(rows.select(*t.key), t.key, "left_anti").select(*t.names)
-        before = old.count()
+        elif (ignore or instead is not None) and t.key:
+            rows = stage(rows, name)
+            met = rows.join(old.select(*t.key), t.key, "left_semi").select(*t.names)
+            rows = stage(rows.join(old.select(*t.key), t.key, "left_anti").select(*t.names).dropDuplicates(t.key), name)
+            n = rows.count()
+            if instead is not None:
+                old, more = self._instead(t, old, met, instead)
+                n += more
+        n = rows.count() if n is None else n
         self._store(t, old.unionByName(rows))
+        self._children_hold(t)
         self._fire(t, False, "INSERT", rows, None)
-        return t.data.count() - before
+        return n
+
+    def _instead(self, t: TableDef, old: DataFrame, met: DataFrame, items: list[Tok]) -> tuple[DataFrame, int]:
+        """ON DUPLICATE KEY UPDATE: ``old`` with the cells set where ``met`` has its key; VALUES(c) is the new row's cell."""
+        kinds = {c.name: c.kind for c in t.columns}
+        both = old.join(met.dropDuplicates(t.key).select(*[F.col(c).alias(f"rq_new_{c}") for c in t.names], F.lit(True).alias("rq_met")), [F.col(k) == F.col(f"rq_new_{k}") for k in t.key], "left")
+        cells = {}
+        for part in Q.split(items):
+            eq = next(i for i, x in enumerate(part) if x.text == "=" and x.kind == "o")
+            value, i = [], eq + 1
+            while i < len(part):
+                if part[i].up == "VALUES" and i + 1 < len(part) and part[i + 1].kind == "g":
+                    value, i = [*value, Tok("w", f"rq_new_{Q.render(part[i + 1].items).lower()}")], i + 2
+                else:
+                    value, i = [*value, part[i]], i + 1
+            name = Q.render(part[eq - 1 : eq]).strip("`").lower()
+            cells[name] = F.when(F.col("rq_met"), F.expr(self.expression(value)).cast(kinds[name])).otherwise(F.col(name)).alias(name)
+        return both.select(*[cells.get(c, F.col(c)) for c in t.names]), met.select(*t.key).distinct().count()
+
+    def _children_hold(self, t: TableDef) -> None:
+        """Raises where a row of another table has lost the row of ``t`` that its foreign key names."""
+        for child in self.tables.values():
+            if child is not t and any(f.parent == t.name for f in child.foreign):
+                self._check(child, dml.current_rows(child.data, child.period[1]) if child.versioned else child.data)
+
+    def _repoint(self, t: TableDef, old: DataFrame, new: DataFrame) -> None:
+        """What foreign keys ask for when keys of their parent ``t`` change. ``old`` and ``new`` are the changed rows, by number."""
+        for child in list(self.tables.values()):
+            for f in [f for f in child.foreign if f.parent == t.name and child is not t and f.on_update not in ("NO ACTION", "RESTRICT")]:
+                a = old.select(RID, *[F.col(c).alias(f"rq_o{i}") for i, c in enumerate(f.target)])
+                b = new.select(RID, *[F.col(c).alias(f"rq_n{i}") for i, c in enumerate(f.target)])
+                differs = " OR ".join(f"NOT (rq_o{i} <=> rq_n{i})" for i in range(len(f.target)))
+                moved = stage(a.join(b, RID).where(differs).drop(RID), t.name)
+                if moved.isEmpty():
+                    continue
+                kinds = {c.name: c for c in child.columns}
+                same = [F.col(c) == F.col(f"rq_o{i}") for i, c in enumerate(f.columns)]
+                hit = child.data.join(moved, same)
+                value = {
+                    c: F.col(f"rq_n{i}") if f.on_update == "CASCADE" else F.expr(kinds[c].default) if f.on_update == "SET DEFAULT" and kinds[c].default else F.lit(None)
+                    for i, c in enumerate(f.columns)
+                }
+                after = stage(hit.select(RID, *[(value[c].cast(kinds[c].kind) if c in value else F.col(c)).alias(c) for c in child.names]), child.name)
+                before = child.data
+                self._store(child, before.join(after.select(RID), RID, "left_anti").unionByName(after.select(*before.columns)).drop(RID))
+                self._repoint(child, before.join(after.select(RID), RID, "left_semi"), after)
 
     def _stamped(self, t: TableDef, rows: DataFrame) -> DataFrame:
         """``rows`` as current versions from now on."""
@@ -774,21 +910,29 @@ class Engine:
         n = changed.count()
         rest = t.data.join(changed.select(RID), RID, "left_anti")
         watched = any(g.table == t.name and g.event == "UPDATE" for g in self.triggers.values())
-        old = t.data.join(changed.select(RID), RID, "left_semi") if watched or t.versioned else None
+        named = any(f.parent == t.name for c in self.tables.values() if c is not t for f in c.foreign)
+        old = t.data.join(changed.select(RID), RID, "left_semi") if watched or t.versioned or named else None
         if watched:
             changed = stage(self._fire(t, True, "UPDATE", changed, old), t.name)
         if t.versioned:
             changed = stage(self._stamped(t, changed), t.name)
             rest = rest.unionByName(self._ended(t, old).select(*rest.columns))
         self._store(t, rest.unionByName(changed.select(*rest.columns)).drop(RID))
+        if named:
+            self._repoint(t, old, changed)
+            self._children_hold(t)
         if watched:
             self._fire(t, False, "UPDATE", changed, old)
         return n
 
     def _delete(self, items: list[Tok]) -> int:
         t, alias, at = self._target(items, 2)
-        where = Q._find(items, "WHERE")
-        gone = self._hits(t, alias, items[where + 1 :] if where >= 0 else None, {})
+        most = Q._find(items, "LIMIT", start=at)
+        rest, most = (items[:most], int(items[most + 1].text)) if most >= 0 else (items, 0)
+        where = Q._find(rest, "WHERE")
+        gone = self._hits(t, alias, rest[where + 1 :] if where >= 0 else None, {})
+        if most:  # 0 is no limit
+            gone = stage(gone.orderBy(RID).limit(most), t.name)
         n = gone.count()
         self._fire(t, True, "DELETE", None, gone)
         self._remove(t, gone)
@@ -797,6 +941,14 @@ class Engine:
 
     def _remove(self, t: TableDef, gone: DataFrame) -> None:
         """Rows go from a table, and what their foreign keys ask for happens to its children first."""
+        self._orphan(t, gone)
+        left = t.data.join(gone.select(RID), RID, "left_anti")
+        if t.versioned:
+            left = left.unionByName(self._ended(t, gone).select(*left.columns))
+        self._store(t, left.drop(RID))
+
+    def _orphan(self, t: TableDef, gone: DataFrame) -> None:
+        """What foreign keys ask for when rows of their parent ``t`` go."""
         for child in list(self.tables.values()):
             for f in child.foreign:
                 if f.parent != t.name:
@@ -813,10 +965,6 @@ class Engine:
                         saved, child.foreign = child.foreign, [x for x in child.foreign if x is not f]
                         self._store(child, after.drop(RID))
                         child.foreign = saved
-        left = t.data.join(gone.select(RID), RID, "left_anti")
-        if t.versioned:
-            left = left.unionByName(self._ended(t, gone).select(*left.columns))
-        self._store(t, left.drop(RID))
 
     def _truncate(self, items: list[Tok]) -> int:
         t = self._table(self._name(items, 2)[0])
@@ -885,11 +1033,18 @@ class Engine:
             n += hits.count()
             deletes = [i for i, (m, _, a) in enumerate(branches) if m and a[0].up == "DELETE"]
             kept = hits.where(~F.col("rq_b").isin(deletes)) if deletes else hits
+            if deletes:
+                lost = hits.where(F.col("rq_b").isin(deletes)).select(RID)
+                self._orphan(t, stage(t.data.join(lost, RID, "left_semi"), t.name))
+            before = t.data.join(kept.select(RID), RID, "left_semi")
             out = out.join(hits.select(RID), RID, "left_anti").unionByName(kept.drop("rq_b"))
         out = out.drop(RID)
         for x in added:
             out = out.unionByName(x)
         self._store(t, out)
+        if hits is not None:
+            self._repoint(t, before, kept.drop("rq_b"))
+        self._children_hold(t)
         return n
 
     def information_schema(self, name: str) -> DataFrame:

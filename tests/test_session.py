@@ -192,3 +192,66 @@ def test_export_import_and_script(spark, tmp_path):
     again = Engine(spark)
     again.script("; ".join(statements))
     assert sorted(rows(again.sql("SELECT * FROM ex"))) == [(1, "o'k"), (2, None)]
+
+
+def test_keys_of_parents(spark):
+    e = Engine(spark)
+    e.script("""
+        CREATE TABLE pk (id INTEGER PRIMARY KEY, v INTEGER);
+        CREATE TABLE c1 (pid INTEGER, CONSTRAINT c1p FOREIGN KEY (pid) REFERENCES pk (id) ON UPDATE CASCADE ON DELETE CASCADE);
+        CREATE TABLE c2 (pid INTEGER DEFAULT 1, FOREIGN KEY (pid) REFERENCES pk (id) ON UPDATE SET NULL ON DELETE SET NULL);
+        INSERT INTO pk VALUES (1, 1), (2, 2), (3, 3);
+        INSERT INTO c1 VALUES (1), (2), (2);
+        INSERT INTO c2 VALUES (2), (3);
+    """)
+    assert e.sql("UPDATE pk SET id = 20 WHERE id = 2") == 1
+    assert sorted(rows(e.sql("SELECT pid FROM c1"))) == [(1,), (20,), (20,)]
+    assert sorted(rows(e.sql("SELECT pid FROM c2")), key=str) == [(3,), (None,)]
+    assert e.sql("MERGE INTO pk USING (VALUES (20, 0), (4, 4)) AS s(id, v) ON pk.id = s.id WHEN MATCHED THEN DELETE WHEN NOT MATCHED THEN INSERT VALUES (s.id, s.v)") == 2
+    assert rows(e.sql("SELECT pid FROM c1")) == [(1,)]
+    e.script("CREATE TABLE c3 (pid INTEGER REFERENCES pk (id)); INSERT INTO c3 VALUES (4);")
+    for refused in ("UPDATE pk SET id = 99 WHERE id = 4", "MERGE INTO pk USING (VALUES (4)) AS s(id) ON pk.id = s.id WHEN MATCHED THEN DELETE"):
+        with pytest.raises(ValueError, match="23"):
+            e.sql(refused)
+        assert sorted(rows(e.sql("SELECT id FROM pk"))) == [(1,), (3,), (4,)]
+    e.sql("ALTER TABLE c1 DROP CONSTRAINT c1p")
+    assert e.sql("INSERT INTO c1 VALUES (77)") == 1
+    with pytest.raises(ValueError, match="42501"):
+        e.sql("ALTER TABLE c1 DROP CONSTRAINT c1p")
+
+
+def test_limits_duplicates_and_domains(spark):
+    e = Engine(spark)
+    e.script("""
+        CREATE DOMAIN small AS INTEGER CHECK (VALUE < 100);
+        CREATE TABLE d (id INTEGER PRIMARY KEY, v small, CONSTRAINT vu UNIQUE (v));
+        INSERT INTO d VALUES (1, 10), (2, 20), (3, 30);
+    """)
+    with pytest.raises(ValueError, match="23"):
+        e.sql("INSERT INTO d VALUES (4, 100)")
+    assert e.sql("DELETE FROM d WHERE v > 5 LIMIT 1") == 1 and len(rows(e.sql("SELECT * FROM d"))) == 2
+    assert e.sql("INSERT IGNORE INTO d VALUES (3, 31), (5, 50)") == 1
+    assert e.sql("INSERT INTO d VALUES (3, 1), (6, 60) ON DUPLICATE KEY UPDATE v = v + VALUES(v)") == 2
+    assert sorted(rows(e.sql("SELECT * FROM d"))) == [(2, 20), (3, 31), (5, 50), (6, 60)]
+    with pytest.raises(ValueError, match="23"):
+        e.sql("INSERT INTO d VALUES (9, 20)")
+    e.sql("ALTER TABLE d DROP CONSTRAINT vu")
+    assert e.sql("INSERT INTO d VALUES (9, 20)") == 1
+    e.sql("CREATE SYNONYM dd FOR d")
+    assert rows(e.sql("SELECT count(*) FROM dd")) == [(5,)]
+    for refused in ("CREATE USER u PASSWORD p", "SET DATABASE SQL SIZE TRUE"):
+        with pytest.raises(ValueError, match="0A000"):
+            e.sql(refused)
+    assert rows(e.sql("SELECT TRUNC(0.29E0, 2), TRUNC(-0.29E0, 2), TRUNC(1234E0, -2), TRUNC(1.999)")) == [(0.29, -0.29, 1200.0, 1.0)]
+
+
+def test_row_triggers_see_each_row_once(spark):
+    e = Engine(spark)
+    e.script("""
+        CREATE TABLE tr (id INTEGER PRIMARY KEY, v INTEGER);
+        CREATE TABLE trlog (a INTEGER, b INTEGER);
+        INSERT INTO tr VALUES (1, 1), (2, 2), (3, 3);
+    """)
+    e.sql("CREATE TRIGGER tg AFTER UPDATE ON tr REFERENCING NEW AS n OLD AS o FOR EACH ROW INSERT INTO trlog VALUES (o.v, n.v)")
+    assert e.sql("UPDATE tr SET v = v * 10") == 3
+    assert sorted(rows(e.sql("SELECT * FROM trlog"))) == [(1, 10), (2, 20), (3, 30)]
