@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relquill.plans import aggregation, changes, relations, reporting, scalar  # noqa: F401  each registers its queries
+from relquill.plans import aggregation, changes, relations, reporting, scalar, statements  # noqa: F401  each registers its queries
 from relquill.plans.registry import ORACLES, QUERIES
 
 

@@ -287,7 +287,7 @@ class Engine:
         return R.corresponding(self.query(items[:op_at]), self.query(right), op, by)
 
     def _with_sequences(self, items: list[Tok]) -> list[Tok]:
-        """NEXT VALUE FOR s, CURRENT VALUE FOR s and IDENTITY() in a query without a table."""
+        """NEXT VALUE FOR s, CURRENT VALUE FOR s and IDENTITY() in a query without a table, SESSION_ID() in any."""
         out, i = [], 0
         while i < len(items):
             if [t.up for t in items[i : i + 3]] == ["NEXT", "VALUE", "FOR"]:
@@ -299,6 +299,9 @@ class Engine:
             elif items[i].up == "IDENTITY" and i + 1 < len(items) and items[i + 1].kind == "g" and not items[i + 1].items:
                 out.append(Tok("n", "NULL" if self.last_identity is None else str(self.last_identity)))
                 i += 2
+            elif items[i].up == "SESSION_ID" and i + 1 < len(items) and items[i + 1].kind == "g" and not items[i + 1].items:
+                out.append(Tok("s", f"'{self.spark.sparkContext.applicationId}'"))
+                i += 2
             else:
                 t = items[i]
                 out.append(Tok("g", t.text, self._with_sequences(t.items)) if t.kind == "g" else t)
