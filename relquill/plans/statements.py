@@ -196,3 +196,17 @@ def text_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         MERGE INTO rq_chg AS t USING (SELECT n_nationkey + 500 AS k FROM rq_nation WHERE n_regionkey = 3) AS s ON t.k = s.k WHEN NOT MATCHED THEN INSERT (k, name, r) VALUES (s.k, 'merged', 9);
         DELETE FROM rq_chg WHERE r = 3""")
     return e.sql("SELECT k, name FROM rq_chg")
+
+
+@query("SELECT count(*) AS n, max(n_nationkey)::BIGINT AS most, 'added' AS word, true AS single, false AS twice FROM nation WHERE n_regionkey = 1")
+def text_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Procedures with IN, OUT and INOUT parameters, told apart by their number, one of them with a variable; UNIQUE (subquery)."""
+    e = _engine(spark, sf_dir, "nation")
+    e.sql("CREATE TABLE rq_proc (k INTEGER PRIMARY KEY, r INTEGER)")
+    e.sql("""CREATE PROCEDURE rq_fill(IN region INTEGER, OUT n BIGINT, INOUT most BIGINT) MODIFIES SQL DATA BEGIN ATOMIC
+             INSERT INTO rq_proc SELECT n_nationkey, n_regionkey FROM rq_nation WHERE n_regionkey = region;
+             SELECT COUNT(*), MAX(k) + most INTO n, most FROM rq_proc; END""")
+    e.sql("CREATE PROCEDURE rq_fill(IN a INTEGER, OUT word VARCHAR(10)) BEGIN DECLARE i INT DEFAULT 0; SET i = a; IF i > 2 THEN SET word = 'added'; ELSE SET word = 'none'; END IF; END")
+    e.sql("CALL rq_fill(1, NULL, 0)").createOrReplaceTempView("rq_call_a")
+    e.sql("CALL rq_fill(3, NULL)").createOrReplaceTempView("rq_call_b")
+    return e.sql("SELECT n, most, word, UNIQUE (SELECT k FROM rq_proc) AS single, UNIQUE (SELECT r FROM rq_proc) AS twice FROM rq_call_a CROSS JOIN rq_call_b")

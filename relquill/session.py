@@ -73,6 +73,14 @@ class Trigger:
     body: list[Tok]
 
 
+@dataclass
+class Procedure:
+    """``parameters``: (IN, OUT or INOUT, name, Spark type)."""
+
+    parameters: list[tuple[str, str, str]]
+    body: list[Tok]
+
+
 class Engine:
     """SQL statements over a Spark session. Unquoted names are compared without regard to case."""
 
@@ -84,6 +92,7 @@ class Engine:
         self.last_identity: int | None = None
         self.domains: dict[str, list[Tok]] = {}
         self.comments: dict[tuple[str, str], str] = {}
+        self.procedures: dict[tuple[str, int], Procedure] = {}
         self._saved: list[tuple[str | None, dict[str, TableDef]]] = []
 
     # --- entry
@@ -231,7 +240,7 @@ class Engine:
         nothing = lambda _: 0
         return {
             ("INSERT", "INTO"): self._insert, ("UPDATE",): self._update, ("DELETE", "FROM"): self._delete, ("TRUNCATE", "TABLE"): self._truncate, ("MERGE", "INTO"): self._merge,
-            ("REPLACE", "INTO"): self._insert, ("INSERT", "IGNORE", "INTO"): self._insert, ("CREATE", "VIEW"): self._view, ("CREATE", "OR", "REPLACE", "VIEW"): self._view, ("CREATE", "SEQUENCE"): self._sequence, ("CREATE", "FUNCTION"): self._function,
+            ("REPLACE", "INTO"): self._insert, ("INSERT", "IGNORE", "INTO"): self._insert, ("CREATE", "VIEW"): self._view, ("CREATE", "OR", "REPLACE", "VIEW"): self._view, ("CREATE", "SEQUENCE"): self._sequence, ("CREATE", "FUNCTION"): self._function, ("CREATE", "PROCEDURE"): self._procedure, ("DROP", "PROCEDURE"): self._drop_procedure,
             ("CREATE", "INDEX"): nothing, ("CREATE", "UNIQUE", "INDEX"): nothing, ("COMMENT", "ON"): self._comment, ("SET", "TABLE"): self._source, ("SET",): self._setting, ("START", "TRANSACTION"): self._begin, ("SAVEPOINT",): self._savepoint,
             ("RELEASE", "SAVEPOINT"): nothing, ("COMMIT",): self._commit, ("ROLLBACK",): self._rollback, ("CREATE", "TRIGGER"): self._trigger, ("BEGIN",): self._block, ("CREATE",): self._create, ("DROP",): self._drop, ("ALTER", "TABLE"): self._alter, ("EXPLAIN", "PLAN", "FOR"): self._explain, ("CALL",): self._call,
             ("PERFORM", "EXPORT", "DATA"): self._export, ("PERFORM", "IMPORT", "DATA"): self._import, ("PERFORM", "IMPORT", "SCRIPT"): self._import_script, ("SCRIPT",): lambda _: self.dump(),
@@ -341,9 +350,78 @@ class Engine:
         plan = self.query(items[3:])._jdf.queryExecution().toString()
         return self.spark.createDataFrame([(line,) for line in plan.splitlines()], "plan string")
 
-    def _call(self, items: list[Tok]) -> DataFrame:
+    def _call(self, items: list[Tok]) -> DataFrame | int:
+        if len(items) == 3 and items[2].kind == "g":
+            given = Q.split(items[2].items) if items[2].items else []
+            if (called := self.procedures.get((items[1].text.lower(), len(given)))) is not None:
+                return self._whole(lambda _: self._perform(called, given), items)
         return self.query([Tok("w", "SELECT"), *items[1:], *Q.tokens("AS result")])
 
+    def _procedure(self, items: list[Tok]) -> int:
+        """CREATE PROCEDURE p([IN | OUT | INOUT] a type, ..) [characteristics] statement; names are told apart by the number of parameters."""
+        parameters = []
+        for part in Q.split(items[3].items) if items[3].items else []:
+            mode = part[0].up if part[0].up in ("IN", "OUT", "INOUT") else "IN"
+            part = part[1:] if part[0].up == mode else part
+            parameters.append((mode, part[0].text.lower(), Q.spark_type(part[1:])[0]))
+        first = next((i for i in range(4, len(items)) if items[i].up in ("BEGIN", "SET", "INSERT", "UPDATE", "DELETE", "MERGE", "TRUNCATE", "REPLACE", "SELECT")), None)
+        if first is None:
+            raise ValueError("42590 unexpected end of statement: a procedure needs a statement")
+        self.procedures[items[2].text.lower(), len(parameters)] = Procedure(parameters, items[first:])
+        return 0
+
+    def _drop_procedure(self, items: list[Tok]) -> int:
+        found = [k for k in self.procedures if k[0] == items[2].text.lower()]
+        if not found and Q._find(items, "IF", "EXISTS") < 0:
+            raise ValueError(f"42501 user lacks privilege or object not found: {items[2].text}")
+        for k in found:
+            del self.procedures[k]
+        return 0
+
+    def _perform(self, p: Procedure, given: list[list[Tok]]) -> DataFrame | int:
+        """A call: statements in turn, with the parameters' values in their places. The OUT values come back as one row.
+
+        A body with variables or control statements runs as a Spark SQL script instead; it cannot change the session's tables.
+        """
+        outs = [(n, k) for mode, n, k in p.parameters if mode != "IN"]
+        values: dict[str, list[Tok]] = {n: [Tok("n", f"CAST({Q.render(g) if mode != 'OUT' else 'NULL'} AS {k})")] for (mode, n, k), g in zip(p.parameters, given, strict=True)}
+
+        def filled(items: list[Tok], names) -> list[Tok]:
+            out: list[Tok] = []
+            for i, t in enumerate(items):
+                if t.kind == "g":
+                    out.append(Tok("g", t.text, filled(t.items, names)))
+                elif t.kind == "w" and t.text.lower() in names and not (i > 0 and items[i - 1].text == "."):
+                    out += values[t.text.lower()]
+                else:
+                    out.append(t)
+            return out
+
+        body = p.body[2 if len(p.body) > 1 and p.body[1].up == "ATOMIC" else 1 : -1] if p.body[0].up == "BEGIN" else p.body
+        if any(t.up in ("DECLARE", "IF", "WHILE", "REPEAT", "LOOP", "FOR") and not (t.up == "IF" and i + 1 < len(body) and body[i + 1].up in ("EXISTS", "NOT")) for i, t in enumerate(body)):
+            declared = " ".join(f"DECLARE {n} {k} DEFAULT {Q.render(values[n])};" for n, k in outs)
+            rest = Q.render(filled(body, {n for mode, n, _ in p.parameters if mode == "IN"})).rstrip().rstrip(";")
+            return self.spark.sql(f"BEGIN {declared} {rest}; {f'SELECT {", ".join(n for n, _ in outs)};' if outs else ''} END")
+        kinds, result = dict(outs), 0
+        for part in self._parts(body):
+            targets: list[str] = []
+            if part[0].up == "SET":
+                eq = next(i for i, t in enumerate(part) if t.text == "=")
+                targets, part = [part[1].text.lower()], [Tok("w", "SELECT"), *part[eq + 1 :]]
+            elif part[0].up == "SELECT" and (into := Q._find(part, "INTO")) > 0:
+                end = Q._find(part, "FROM", start=into)
+                targets = [c[0].text.lower() for c in Q.split(part[into + 1 : end])]
+                part = part[:into] + part[end:]
+            result = self.sql(Q.render(filled(part, values)))
+            if targets:
+                if any(n not in kinds for n in targets):
+                    raise ValueError(f"0A000 feature not supported: a value for {', '.join(targets)}")
+                row = result.head()  # a single-row SELECT
+                for n, v in zip(targets, row if row is not None else [None] * len(targets), strict=True):
+                    plain = Tok("w", "NULL") if v is None else Tok("s", "'" + str(v).replace("'", "''") + "'")
+                    values[n] = [Tok("w", "CAST"), Tok("g", "()", [plain, *Q.tokens(f"AS {kinds[n]}")])]
+        return self.spark.sql(f"SELECT {', '.join(f'{Q.render(values[n])} AS {n}' for n, _ in outs)}") if outs else result
+
     def expression(self, text_: str | list[Tok]) -> str:
         return Q.render(Q.rewrite(Q.tokens(text_) if isinstance(text_, str) else text_, None))
 

@@ -255,3 +255,36 @@ def test_row_triggers_see_each_row_once(spark):
     e.sql("CREATE TRIGGER tg AFTER UPDATE ON tr REFERENCING NEW AS n OLD AS o FOR EACH ROW INSERT INTO trlog VALUES (o.v, n.v)")
     assert e.sql("UPDATE tr SET v = v * 10") == 3
     assert sorted(rows(e.sql("SELECT * FROM trlog"))) == [(1, 10), (2, 20), (3, 30)]
+
+
+def test_procedures(spark):
+    e = Engine(spark)
+    e.script("CREATE TABLE pt (id INTEGER PRIMARY KEY, name VARCHAR(20)); INSERT INTO pt VALUES (1, 'a'), (2, 'b')")
+    e.sql("CREATE PROCEDURE add_row(IN k INTEGER, IN n VARCHAR(20)) MODIFIES SQL DATA INSERT INTO pt VALUES (k, n)")
+    assert e.sql("CALL add_row(3, 'it''s')") == 1
+    assert sorted(rows(e.sql("SELECT * FROM pt"))) == [(1, "a"), (2, "b"), (3, "it's")]
+    e.sql("CREATE PROCEDURE look(IN k INTEGER, OUT n VARCHAR(20), INOUT c INTEGER) BEGIN ATOMIC SELECT name INTO n FROM pt WHERE id = k; SET c = c + 1; SET c = c * 10; END")
+    assert rows(e.sql("CALL look(3, NULL, 4)")) == [("it's", 50)]
+    e.sql("CREATE PROCEDURE again(IN k INTEGER, OUT n VARCHAR(20), OUT m VARCHAR(40)) BEGIN ATOMIC SELECT name INTO n FROM pt WHERE id = k; SET m = n || '/' || n; END")
+    assert rows(e.sql("CALL again(3, NULL, NULL)")) == [("it's", "it's/it's")]
+    assert rows(e.sql("CALL look(99, NULL, NULL)")) == [(None, None)]
+    e.sql("CREATE PROCEDURE twice(IN k INTEGER) BEGIN ATOMIC INSERT INTO pt VALUES (k, 'x'); INSERT INTO pt VALUES (k, 'y'); END")
+    with pytest.raises(ValueError):
+        e.sql("CALL twice(7)")
+    assert rows(e.sql("SELECT COUNT(*) FROM pt")) == [(3,)]  # the failed call left nothing
+    e.sql("DROP PROCEDURE twice")
+    with pytest.raises(ValueError):
+        e.sql("DROP PROCEDURE twice")
+
+
+def test_unique_arrays_and_division(spark):
+    e = Engine(spark)
+    one = lambda q: rows(e.sql(q))[0][0]
+    assert one("SELECT UNIQUE (SELECT a FROM (VALUES (1), (2), (NULL), (NULL)) AS t(a)) AS u") is True
+    assert one("SELECT UNIQUE (SELECT a FROM (VALUES (1), (1)) AS t(a)) AS u") is False
+    assert one("SELECT ARRAY['x', 'y'][1] AS v") == "x"
+    assert one("SELECT 3 IN (UNNEST(ARRAY[1, 3])) AS v") is True
+    assert one("SELECT 4 NOT IN (UNNEST(ARRAY[1, 3])) AS v") is True
+    assert str(one("SELECT CAST(-2 AS DECIMAL(6,2)) / CAST(3 AS DECIMAL(6,2)) AS v")) == "-0.66"
+    assert one("SELECT CAST(NULL AS DECIMAL(6,2)) / CAST(3 AS DECIMAL(6,2)) AS v") is None
+    assert one("SELECT SUM(x) AS s FROM (VALUES (CAST(9223372036854775807 AS BIGINT)), (CAST(1 AS BIGINT))) AS t(x)") == 9223372036854775808
