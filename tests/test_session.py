@@ -288,3 +288,15 @@ def test_unique_arrays_and_division(spark):
     assert str(one("SELECT CAST(-2 AS DECIMAL(6,2)) / CAST(3 AS DECIMAL(6,2)) AS v")) == "-0.66"
     assert one("SELECT CAST(NULL AS DECIMAL(6,2)) / CAST(3 AS DECIMAL(6,2)) AS v") is None
     assert one("SELECT SUM(x) AS s FROM (VALUES (CAST(9223372036854775807 AS BIGINT)), (CAST(1 AS BIGINT))) AS t(x)") == 9223372036854775808
+
+
+def test_backslashes_are_characters(spark):
+    e = Engine(spark)
+    one = lambda q: rows(e.sql(q))[0]
+    assert one(r"SELECT 'a\nb' AS a, 'it''s \d' AS b, REGEXP_LIKE('a1', 'a\d') AS c") == (r"a\nb", r"it's \d", True)
+    assert one(r"SELECT 'x\y' LIKE 'x\y' AS a, 'x\%' LIKE 'x\%' AS b, 'xz' LIKE 'x\%' AS c, 'a_b' LIKE 'a\_b' ESCAPE '\' AS d, 'acb' LIKE 'a\_b' ESCAPE '\' AS e") == (True, True, False, True, False)
+    e.script(r"CREATE TABLE bsl (id INTEGER, v VARCHAR(20) DEFAULT 'd\n'); INSERT INTO bsl VALUES (1, 'a\tb'); INSERT INTO bsl (id) VALUES (2); UPDATE bsl SET v = 'it''s \u' WHERE v LIKE 'a\t%'")
+    assert sorted(rows(e.sql("SELECT * FROM bsl"))) == [(1, r"it's \u"), (2, r"d\n")]
+    other = Engine(spark)
+    other.script(";".join(r[0] for r in e.sql("SCRIPT").collect()))
+    assert sorted(rows(other.sql("SELECT * FROM bsl"))) == [(1, r"it's \u"), (2, r"d\n")]
