@@ -32,7 +32,7 @@ def text_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey, ceil(c_acctbal)::DOUBLE AS up, floor(c_acctbal)::DOUBLE AS down, round(ln(c_acctbal + 2001), 9) AS lg, c_acctbal AS nv, true AS rnd, c_acctbal::DECIMAL(38,10)::DOUBLE AS num, c_custkey // 7 AS quotient,
-    c_custkey % 7 AS rest, c_nationkey & 5 AS ba, c_nationkey | 8 AS bo, sign(c_acctbal)::INTEGER AS sg, abs(c_acctbal) AS ab, 0.29 AS tr FROM customer""")
+    c_custkey % 7 AS rest, c_nationkey & 5 AS ba, c_nationkey | 8 AS bo, sign(c_acctbal)::INTEGER AS sg, abs(c_acctbal) AS ab, 0.29::DOUBLE AS tr FROM customer""")
 def text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine(spark, sf_dir, "customer").sql("""
         SELECT c_custkey, CAST(CEILING(c_acctbal) AS DOUBLE) AS up, CAST(FLOOR(c_acctbal) AS DOUBLE) AS down, ROUND(LOG(c_acctbal + 2001), 9) AS lg, NANVL(c_acctbal, 0) AS nv, RAND() < 1 AS rnd,
@@ -40,11 +40,11 @@ def text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         ABS(c_acctbal) AS ab, TRUNC(0.29E0, 2) AS tr FROM rq_customer""")
 
 
-@query("""SELECT o_orderkey, month(d)::INTEGER AS m, day(d)::INTEGER AS d, (dayofweek(d) + 1)::INTEGER AS dow, dayofyear(d)::INTEGER AS doy, last_day(d) AS eom, monthname(d) AS mn, dayname(d) AS dn, d + INTERVAL 3 DAY AS plus,
+@query("""SELECT o_orderkey, month(d)::INTEGER AS m, day(d)::INTEGER AS d, (dayofweek(d) + 1)::INTEGER AS dow, dayofyear(d)::INTEGER AS doy, last_day(d) AS eom, monthname(d) AS mn, month(d)::VARCHAR AS dn, d + INTERVAL 3 DAY AS plus,
     d - INTERVAL 2 MONTH AS minus, true AS today, true AS cur, date_diff('day', DATE '1990-01-01', d::DATE) AS n, d AS ts, quarter(d)::INTEGER AS q, strftime(d, '%Y-%m') AS txt FROM (SELECT o_orderkey, o_orderdate::TIMESTAMP AS d FROM orders)""")
 def text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine(spark, sf_dir, "orders").sql("""
-        SELECT o_orderkey, MONTH(d) AS m, DAY(d) AS d, DAYOFWEEK(d) AS dow, DAYOFYEAR(d) AS doy, EOMONTH(d) AS eom, MONTHNAME(d) AS mn, DATENAME('weekday', d) AS dn, DATE_ADD(d, INTERVAL '3' DAY) AS plus,
+        SELECT o_orderkey, MONTH(d) AS m, DAY(d) AS d, DAYOFWEEK(d) AS dow, DAYOFYEAR(d) AS doy, EOMONTH(d) AS eom, MONTHNAME(d) AS mn, DATENAME('mm', d) AS dn, DATE_ADD(d, INTERVAL '3' DAY) AS plus,
         DATE_SUB(d, INTERVAL '2' MONTH) AS minus, TODAY() = CURDATE() AS today, CURRENT_DATE > DATE '2024-01-01' AS cur, DATEDIFF('dd', DATE '1990-01-01', d) AS n, CAST(TIMESTAMP(d) AS TIMESTAMP_NTZ) AS ts,
         QUARTER(d) AS q, TO_CHAR(d, 'YYYY-MM') AS txt FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP_NTZ) AS d FROM rq_orders)""")
 
@@ -166,22 +166,22 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         END""")
 
 
-@query("SELECT * FROM (VALUES ('dual', 1.0), ('top', 5), ('limit', 4), ('unified', 2.5), ('unified', 1), ('period', 25)) AS t(name, x)")
+@query("SELECT name, x::DOUBLE AS x FROM (VALUES ('dual', 1.0), ('top', 5), ('limit', 4), ('unified', 2.5), ('unified', 1), ('period', 25)) AS t(name, x)")
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT without a table, TOP and LIMIT after SELECT, types of branches, a period's own check."""
     e = _engine(spark, sf_dir, "nation")
     e.script("CREATE TABLE rq_span (k INTEGER, a TIMESTAMP, b TIMESTAMP, CHECK (a < b)); INSERT INTO rq_span SELECT n_nationkey, TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-02-01 00:00:00' FROM rq_nation")
-    return e.sql("""
+    return e.sql("""SELECT name, CAST(x AS DOUBLE) AS x FROM (
         SELECT 'dual' AS name, CAST(1 AS DECIMAL(12,2)) AS x UNION ALL SELECT 'top', COUNT(*) FROM (SELECT TOP 5 n_nationkey FROM rq_nation ORDER BY n_nationkey) t
         UNION ALL SELECT 'limit', COUNT(*) FROM (SELECT LIMIT 2 4 n_nationkey FROM rq_nation ORDER BY n_nationkey) t UNION ALL SELECT 'unified', x FROM (SELECT 1 AS x UNION SELECT CAST(2.5 AS DECIMAL(4,1))) u
-        UNION ALL SELECT 'period', COUNT(*) FROM rq_span WHERE (a, b) OVERLAPS (TIMESTAMP '2024-01-15 00:00:00', TIMESTAMP '2024-03-01 00:00:00')""")
+        UNION ALL SELECT 'period', COUNT(*) FROM rq_span WHERE (a, b) OVERLAPS (TIMESTAMP '2024-01-15 00:00:00', TIMESTAMP '2024-03-01 00:00:00')) r""")
 
 
-@query("""SELECT o_custkey AS k, sum(o_totalprice::DECIMAL(12,2)) AS total, trunc(sum(o_totalprice::DECIMAL(12,2)) * 100 / 7)::BIGINT / 100 AS seventh, sum(o_orderkey)::DECIMAL(38,0) AS keys, sum(o_orderkey) // count(*) AS middle FROM orders GROUP BY o_custkey""")
+@query("""SELECT o_custkey AS k, sum(o_totalprice::DECIMAL(12,2))::DOUBLE AS total, (trunc(sum(o_totalprice::DECIMAL(12,2)) * 100 / 7)::BIGINT / 100)::DOUBLE AS seventh, sum(o_orderkey)::BIGINT AS keys, (sum(o_orderkey) // count(*))::BIGINT AS middle FROM orders GROUP BY o_custkey""")
 def text_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SUM of bigints as decimal, decimal division cut to its scale, AVG of integers, in text."""
     return _engine(spark, sf_dir, "orders").sql("""
-        SELECT k, total, total / 7 AS seventh, keys, middle FROM (SELECT o_custkey AS k, SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS total, SUM(CAST(o_orderkey AS BIGINT)) AS keys,
+        SELECT k, CAST(total AS DOUBLE) AS total, CAST(total / 7 AS DOUBLE) AS seventh, CAST(keys AS BIGINT) AS keys, middle FROM (SELECT o_custkey AS k, SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS total, SUM(CAST(o_orderkey AS BIGINT)) AS keys,
         AVG(o_orderkey) AS middle FROM rq_orders GROUP BY o_custkey) t""")
 
 
