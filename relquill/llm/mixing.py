@@ -185,8 +185,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     line = line.withColumn("rank", F.expr("least((place * n_slots) div greatest(words, 1), n_slots - 1)"))
     line = line.withColumn("part", F.when(F.col("copy") == F.col("whole"), F.col("part")))
     slots = slots.select(F.col("key").alias("sk"), F.col("rank").alias("sr"), "slot")
-    few = slots.count() <= BROADCAST_IDS
-    plan = line.join(F.broadcast(slots) if few else slots, (F.col("key") == F.col("sk")) & (F.col("rank") == F.col("sr")), "left")
+    # slots are 2**SLOT_BITS at least, too many to pass through the driver; a slot has few documents, so no row of theirs is hot
+    plan = line.join(slots.hint("merge"), (F.col("key") == F.col("sk")) & (F.col("rank") == F.col("sr")), "left")
     plan = plan.select(F.col(own).alias("at_row"), F.struct("slot", "place", "key").alias("at_slot"), "part")
     row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
     out = numbered.select(F.col(own).alias("at_row"), row).join(plan, "at_row")

@@ -13,7 +13,8 @@ Plan, and what each step moves:
 5. Buckets that still hold two groups are compared in blocks of bounded bytes, pairs of blocks in separate tasks, on
    whole sets, which put out the links that join groups and no other pairs. So no link is lost to the pivots, and no
    bucket is ever in one task.
-6. Links become groups by local union-find in each partition, then star contraction between partitions.
+6. Links become groups by local union-find in each partition; what is left of them is merged in one task while it is
+   few (a fixed number), else by star contraction between partitions.
 
 Hot keys (bands, pivots, sets, hubs) are those with at least 1/20,000 of the rows: so at most 20,000, whatever the size of
 the data, which is why their slim side may be broadcast, and their rows stay where they are.
@@ -45,6 +46,8 @@ BLOCK, BLOCK_BYTES = 512, 8 << 20
 HOT_ROWS, HOT_KEYS = 1024, 20_000
 #: The same floor for links, whose rows are 16 bytes.
 HUB_ROWS = 1_000_000
+#: Links, after the local union-find, that one task merges (16 bytes each); more are contracted between partitions.
+LINKS_AT_ONCE = 200_000
 
 _SIG = T.StructType(
     [
@@ -214,10 +217,11 @@ def _join_split(left: DataFrame, right: DataFrame, key: str, hot: str) -> DataFr
     return left.join(F.broadcast(few), key).unionByName(rest)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, hub: int = HUB_ROWS) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, hub: int = HUB_ROWS, at_once: int = LINKS_AT_ONCE) -> DataFrame:
     """(node, root) of every node in ``edges``, root the smallest node reachable.
 
-    Each partition first reduces its links to a forest by union-find; then large-star and small-star steps,
+    Each partition first reduces its links to a forest by union-find. Forests of ``at_once`` links or fewer are merged in the
+    same way by one task, as plans and tasks of many steps would cost the driver more than the links. Else large-star and small-star steps,
     each an aggregate and a join on the node, run until a step changes nothing (a number of steps
     logarithmic in the longest chain). The driver sees one checksum a step. A node with ``hub`` links or more is joined in place.
     """
@@ -248,6 +252,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     links = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     now = stage(links.mapInPandas(forest, "u long, v long"), "links")
     mark, n = None, now.count()
+    if n <= at_once:
+        out = stage(now.coalesce(1).mapInPandas(forest, "u long, v long"), "links")
+        drop_stage(now)
+        return out.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
     def attached(rows: DataFrame, low: DataFrame) -> DataFrame:
         return rows.join(low, "u") if n < hub else _join_split(rows, low, "u", f"c >= {_hot_from(2 * n, hub)}")

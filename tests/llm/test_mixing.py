@@ -108,3 +108,10 @@ def test_sources_smaller_than_a_slot_get_their_targets(spark):
     assert all((r["first_slot"] is not None) == (r["taken"] > 0) for r in got)
     assert all(0 <= r["first_slot"] < 64 for r in got if r["taken"])
     assert len({r["first_slot"] for r in got if r["doc_id"] < 1000}) > 32
+
+
+def test_slots_do_not_pass_through_the_driver(spark, sf_dir):
+    rows = [(i, "w " * (1 + i % 7), "ab"[i % 2]) for i in range(60)]
+    plan = mixing.mix_stage(spark, documents(spark, rows), sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join " in x and "sk#" in x]
+    assert len(joins) == 1 and "strategy=broadcast" not in joins[0]

@@ -78,3 +78,28 @@ def test_signature_estimates_likeness():
     _, at = near_dup.superminhash(h, who, 2)
     real = len(shingles(" ".join(a), 1) & shingles(" ".join(b), 1)) / len(shingles(" ".join(a), 1) | shingles(" ".join(b), 1))
     assert abs((at[0] == at[1]).mean() - real) < 0.12
+
+
+def test_few_links_are_grouped_by_few_jobs(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1200)] + [(rng.randrange(2000, 2600), rng.randrange(2000, 2600)) for _ in range(400)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    context = spark.sparkContext
+    context.setJobGroup("few links", "")
+    got = {tuple(r) for r in near_dup.connected_components(df).collect()}
+    jobs = len(context.statusTracker().getJobIdsForGroup("few links"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 6
+    by_steps = {tuple(r) for r in near_dup.connected_components(df, at_once=0).collect()}
+    parent = {}
+
+    def find(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    assert got == by_steps == {(x, find(x)) for e in edges for x in e if x != find(x)}
