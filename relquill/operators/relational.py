@@ -156,22 +156,59 @@ def unnest(df: DataFrame, arrays: dict[str, str], ordinality: str | None = None)
     return out.select(*df.columns, *cols, *([(F.col("__pos") + 1).alias(ordinality)] if ordinality else []))
 
 
+def _cell(df: DataFrame, c: str, width: float) -> Column:
+    """The cell of ``width`` (seconds for timestamps) that a number or timestamp lies in; no less for a greater value."""
+    x, kind = F.col(c), df.schema[c].dataType.typeName()
+    if kind == "timestamp_ntz":  # by its fields, to whole seconds: in the session's zone some hours come twice
+        x = F.unix_date(x.cast("date")) * F.lit(86400).cast("bigint") + F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x)
+    elif kind == "timestamp":
+        x = F.unix_micros(x) / 1e6
+    cell = F.floor(x / width)
+    return F.when(F.isnan(x), F.lit(2**63 - 1)).otherwise(cell) if kind in ("double", "float") else cell  # NaN is the greatest
+
+
 def range_join(left: DataFrame, right: DataFrame, point: str, start: str, end: str, width: float) -> DataFrame:
     """Rows of ``left`` whose ``point`` lies in [start, end) of a row of ``right``, numbers or timestamps.
 
     Spans are dealt to cells of ``width`` (seconds for timestamps), so that the join is by equality on the cell and not a
-    comparison of all with all; a point lies in one cell, so no pair comes twice.
+    comparison of all with all; a point lies in one cell, so no pair comes twice. The pairs themselves may be as many as
+    rows times rows: where only their number is asked, ``range_join_counts`` makes none of them.
     """
-    def number(df: DataFrame, c: str) -> Column:
-        x = F.col(c)
-        return F.unix_micros(x.cast("timestamp")) / 1e6 if df.schema[c].dataType.typeName().startswith("timestamp") else x
-
-    cells = F.sequence(F.floor(number(right, start) / width), F.floor(number(right, end) / width))
+    cells = F.sequence(_cell(right, start, width), _cell(right, end, width))
     spans = right.where(F.col(start) < F.col(end)).withColumn("__cell", F.explode(cells))
-    points = left.withColumn("__cell", F.floor(number(left, point) / width))
+    points = left.withColumn("__cell", _cell(left, point, width))
     return points.join(spans, "__cell").where((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("__cell")
 
 
+def range_join_counts(left: DataFrame, right: DataFrame, point: str, start: str, end: str, width: float, name: str = "n") -> DataFrame:
+    """Each row of ``right`` with the number of rows that ``range_join`` pairs it with, where there are any; no pair is made.
+
+    The number is that of the points before ``end`` less that before ``start``. Points before a value are counted by running
+    sums over distinct values in their cell of ``width``, over cells in their block of 65,536, and over blocks. So work grows
+    with the rows of both sides, equal values are one row, and a task holds the distinct values of a cell or the cells of a block.
+    """
+    bounds = right.where(F.col(start) < F.col(end))
+    marks = left.select(F.col(point).alias("__x"), F.lit(1).cast("bigint").alias("__w"), F.lit(False).alias("__bound"))
+    marks = marks.unionByName(bounds.select(F.explode(F.array(start, end)).alias("__x"), F.lit(0).cast("bigint").alias("__w"), F.lit(True).alias("__bound")))
+    marks = marks.where("__x IS NOT NULL")
+    cell = _cell(marks, "__x", width)
+
+    def before(*keys: str) -> Column:
+        """The sum of the rows before, by the last of ``keys`` within the others."""
+        w = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("__w").over(w), F.lit(0))
+
+    total = F.sum("__w").alias("__w")
+    blocks = marks.groupBy(F.shiftright(cell, 16).alias("__block")).agg(total).select("__block", before("__block").alias("__b"))
+    cells = marks.groupBy(cell.alias("__cell")).agg(total).withColumn("__block", F.shiftright("__cell", 16))
+    cells = cells.withColumn("__c", before("__block", "__cell")).join(blocks, "__block").select("__cell", (F.col("__b") + F.col("__c")).alias("__c"))
+    values = marks.groupBy("__x").agg(total, F.max("__bound").alias("__bound")).withColumn("__cell", cell)
+    ranks = values.withColumn("__v", before("__cell", "__x")).where("__bound").join(cells, "__cell").select("__x", (F.col("__c") + F.col("__v")).alias("__r"))
+    out = bounds.join(ranks.select(F.col("__x").alias("__s"), F.col("__r").alias("__lo")), F.col(start) == F.col("__s"))
+    out = out.join(ranks.select(F.col("__x").alias("__f"), F.col("__r").alias("__hi")), F.col(end) == F.col("__f")).where("__hi > __lo")
+    return out.select(*right.columns, (F.col("__hi") - F.col("__lo")).alias(name))
+
+
 # --- sorting, limits, numbering
 
 
