@@ -133,6 +133,9 @@ def checked_period(df: DataFrame, start: str, end: str) -> DataFrame:
 
 # --- joins
 
+#: Rows of each side that meet at once in a hot cell of a range join.
+_BLOCK = 2048
+
 
 def union_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """UNION JOIN: the rows of both sides, each padded with nulls; no comparison is made."""
@@ -171,13 +174,27 @@ def range_join(left: DataFrame, right: DataFrame, point: str, start: str, end: s
     """Rows of ``left`` whose ``point`` lies in [start, end) of a row of ``right``, numbers or timestamps.
 
     Spans are dealt to cells of ``width`` (seconds for timestamps), so that the join is by equality on the cell and not a
-    comparison of all with all; a point lies in one cell, so no pair comes twice. The pairs themselves may be as many as
-    rows times rows: where only their number is asked, ``range_join_counts`` makes none of them.
+    comparison of all with all; a point lies in one cell, so no pair comes twice. In a cell with many rows each side is dealt to
+    blocks of about 2,048 rows and meets the other's blocks one by one, so that a hot cell is many small groups. The pairs
+    themselves may be as many as rows times rows: where only their number is asked, ``range_join_counts`` makes none of them.
+    Blocks are dealt by a hash of the row, so equal rows share one; the numbers of blocks of hot cells are written to the shared folder.
     """
+    from relquill.sources.storage import stage
+
     cells = F.sequence(_cell(right, start, width), _cell(right, end, width))
     spans = right.where(F.col(start) < F.col(end)).withColumn("__cell", F.explode(cells))
     points = left.withColumn("__cell", _cell(left, point, width))
-    return points.join(spans, "__cell").where((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("__cell")
+    sizes = [d.groupBy("__cell").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias(n)) for d, n in ((points, "__p"), (spans, "__s"))]
+    hot = stage(sizes[0].join(sizes[1], "__cell").where("__p > 1 OR __s > 1"), "cells")
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind and df.columns.count(c) == 1]
+        df = df.join(hot, "__cell", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("__p", "__s")})
+        df = df.withColumn(own, F.pmod(F.xxhash64(*hashed), own))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
+
+    met = dealt(points, "__p", "__s").join(dealt(spans, "__s", "__p"), ["__cell", "__p", "__s"])
+    return met.where((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("__cell", "__p", "__s")
 
 
 def range_join_counts(left: DataFrame, right: DataFrame, point: str, start: str, end: str, width: float, name: str = "n") -> DataFrame:

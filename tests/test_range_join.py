@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from relquill.operators import relational as R
 from relquill.plans import catalog
@@ -93,3 +94,24 @@ def test_numbers(spark):
     left, right, want = check(spark, whole + [None], [(a, a + rnd.randrange(-2, 900)) for a in whole[:60]], "bigint", 10)
     joined = R.range_join(left, right, "x", "s", "e", 10)
     assert joined.count() == sum(n for _, n in want)
+
+
+def test_hot_cell_is_dealt_to_blocks(spark, monkeypatch):
+    """Points and spans of one cell in blocks of 16: the pairs are the same, and no task has most of them."""
+    monkeypatch.setattr(R, "_BLOCK", 16)
+    left = spark.createDataFrame([(i % 400 / 100, {"k": i}) for i in range(800)] + [(50.0, {}), (None, {})], "x double, m map<string, int>")
+    right = spark.createDataFrame([(i, i / 100, i / 100 + 1) for i in range(300)] + [(300, 49.0, 51.0), (301, 2.0, 2.0), (302, None, 2.0)], "id int, s double, e double")
+    joined = R.range_join(left, right, "x", "s", "e", 10)
+    assert joined.columns == ["x", "m", "id", "s", "e"]
+    want = Counter({i: 2 * sum(i / 100 <= x / 100 < i / 100 + 1 for x in range(400)) for i in range(300)} | {300: 1})
+    assert Counter(r.id for r in joined.collect()) == want
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        share = [r["count"] for r in R.range_join(left, right, "x", "s", "e", 10).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(share) < sum(share) / 2  # all were in one task
